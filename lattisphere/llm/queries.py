@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import sharding, simhash
 
 
 def table(spark, sf_dir: str, name: str):
@@ -16,5 +16,10 @@ def op2_sharding(spark, sf_dir):
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {"op2_sharding": op2_sharding}
-ORACLE = {}
+def op6_simhash(spark, sf_dir):
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op6_simhash": op6_simhash}
+ORACLE: dict = {}
