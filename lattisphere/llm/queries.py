@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import sharding, simhash
+from . import bpe, sharding, simhash
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark, sf_dir: str, name: str):
@@ -21,5 +27,9 @@ def op6_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_simhash": op6_simhash}
+def op7_bpe(spark, sf_dir):
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
 ORACLE: dict = {}
