@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash
+from . import bpe, sharding, simhash, tokenstore
 
 
 def vocabulary(name: str) -> str:
@@ -31,5 +31,9 @@ def op7_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
+def op1_token_store(spark, sf_dir):
+    return tokenstore.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
 ORACLE: dict = {}
