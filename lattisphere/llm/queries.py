@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash, tokenstore
+from . import bpe, language, quality, sharding, simhash, tokenstore
 
 
 def vocabulary(name: str) -> str:
@@ -35,5 +35,13 @@ def op1_token_store(spark, sf_dir):
     return tokenstore.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
+def op4_quality(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
 ORACLE: dict = {}
