@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, sharding, simhash, tokenstore
+from . import bpe, decontamination, language, quality, sharding, simhash, tokenstore
 
 
 def vocabulary(name: str) -> str:
@@ -43,5 +43,9 @@ def op5_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
+def op9_decontamination(spark, sf_dir):
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination}
 ORACLE: dict = {}
