@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, quality, sharding, simhash, tokenstore
+from . import bpe, chunkdedup, decontamination, language, quality, sharding, simhash, suffixdedup, tokenstore
 
 
 def vocabulary(name: str) -> str:
@@ -47,5 +47,14 @@ def op9_decontamination(spark, sf_dir):
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination}
+def op3_chunk_dedup(spark, sf_dir):
+    found = chunkdedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
+
+
+def op10_suffix_dedup(spark, sf_dir):
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op3_chunk_dedup": op3_chunk_dedup, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict = {}

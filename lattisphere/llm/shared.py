@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,7 +99,7 @@ def to_ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         out.write_batch(batch)
-    return sink.getvalue()
+    return sink.getvalue().to_pybytes()
 
 
 def from_ipc(payload: bytes) -> pa.RecordBatch:
@@ -191,3 +192,48 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+#: Stands for a null doc_id where ids are compared: after all others.
+LAST_ID = (1 << 63) - 1
+
+
+def doc_ids(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column.cast(pa.int64()), LAST_ID).to_numpy(zero_copy_only=False)
+
+
+def pack_planes(values: np.ndarray, level: int = 1) -> bytes:
+    """Numbers as planes of their bytes, packed: planes of equal bytes take next to nothing."""
+    width = values.dtype.itemsize
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width)
+    return zstandard.compress(np.ascontiguousarray(flat.T).tobytes(), level)
+
+
+def unpack_planes(packed: bytes, kind) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def without(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> list[bytes]:
+    """Each value's bytes that are not gone."""
+    kept = data[~gone]
+    edges = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+    whole = kept.tobytes()
+    return [whole[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def removed_runs(gone: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes gone and maximal runs of them in each value."""
+    bytes_gone = np.diff(np.concatenate([[0], np.cumsum(gone)])[offsets])
+    begin = gone.copy()
+    begin[1:] &= ~gone[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(gone)]
+    begin[edges] = gone[edges]
+    return bytes_gone, np.diff(np.concatenate([[0], np.cumsum(begin)])[offsets])
+
+
+def with_text(rows: pa.Table | pa.RecordBatch, texts: list[bytes]) -> list[pa.Array]:
+    """The columns of rows with these texts; a null text stays null."""
+    null = rows.column("text").is_null().to_pylist()
+    own = pa.array([None if no else x.decode("utf-8", "replace") for x, no in zip(texts, null, strict=True)], pa.string())
+    return [own if name == "text" else rows.column(name) for name in rows.schema.names]
