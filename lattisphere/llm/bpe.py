@@ -115,23 +115,24 @@ def _table_of(coded: list[bytes]) -> list[np.ndarray]:
     return [ids[k] for k in range(len(ids))]
 
 
-def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, with_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256; with_text: also ids and decoded."""
+def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256; extra: also ids, decoded."""
     buckets = parts_for(text_bytes(docs), BUCKET_TEXT, 32)
     held, _ = staged(_split(docs, path, buckets, block_text), "words")
     coded = _encode_words(held.where("bucket >= 0").select("block", "bucket", "packed"), path)
     blocks = held.where("bucket < 0").select("block", "ids", "counts", "packed")
-    fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_text
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    fields = ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *(f"{c} {kinds[c]}" for c in kinds if c in extra)])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _arrow(with_text).empty_table()
+            return _arrow(extra).empty_table()
         tool = coder(path)
         words = _table_of(right.column("coded").to_pylist())
         pieces = _pieces(tool)
         shown = [b" ".join([pieces[i] for i in w.tolist()]) for w in words]  # the id-to-piece join
         plain = [w.tobytes() for w in words]
-        out = []
+        out, all_ids, all_text = [], [], []
         for doc_ids, counts, packed in zip(left.column("ids").to_pylist(), left.column("counts").to_pylist(), left.column("packed").to_pylist(), strict=True):
             ranks, edges = _ranks(packed), np.cumsum([0, *counts])
             ids, at = joined(plain, ranks)
@@ -139,10 +140,17 @@ def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, with
             for k, doc_id in enumerate(doc_ids):
                 a, b = edges[k], edges[k + 1]
                 own, own_text = ids[at[a] : at[b]], text[at_text[a] : at_text[b]][:-1]
-                row = [doc_id, len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(own_text).hexdigest()]
-                out.append([*row, own.view("<u4").tolist(), own_text.tobytes().decode()] if with_text else row)
-        schema = _arrow(with_text)
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out.append((doc_id, len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(own_text).hexdigest()))
+                all_ids.append(own)
+                all_text.append(own_text)
+        schema = _arrow(extra)
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
+        if "ids" in extra:
+            ends = np.cumsum([0, *(len(x) // 4 for x in all_ids)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids).view("<i4"))))
+        if "decoded" in extra:
+            columns.append(pa.array([x.tobytes().decode() for x in all_text], pa.string()))
+        return pa.table(columns, schema=schema)
 
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join, fields)
 
@@ -156,6 +164,6 @@ def _pieces(tool) -> list[bytes]:
     return tool.pieces
 
 
-def _arrow(with_text: bool) -> pa.Schema:
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return pa.schema(fields + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * with_text)
+def _arrow(extra: tuple[str, ...]) -> pa.Schema:
+    more = {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
+    return pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *((c, more[c]) for c in more if c in extra)])

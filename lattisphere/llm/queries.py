@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chunkdedup, decontamination, language, quality, sharding, simhash, suffixdedup, tokenstore
+from . import bpe, chunkdedup, decontamination, language, quality, sharding, simhash, suffixdedup, tokenstore, topk
 
 
 def vocabulary(name: str) -> str:
@@ -56,5 +56,9 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffixdedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op3_chunk_dedup": op3_chunk_dedup, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination, "op10_suffix_dedup": op10_suffix_dedup}
+def op8_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op3_chunk_dedup": op3_chunk_dedup, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_decontamination": op9_decontamination, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict = {}
