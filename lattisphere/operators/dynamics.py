@@ -13,7 +13,9 @@ from ..functions.elements import DEFAULT_MASS, THZ_TO_CM, THZ_TO_MEV, elements
 from ..functions.geometry import LATTICE, min_image
 from .storage import materialised
 
-_PATH = Window.partitionBy("atom_id").orderBy("frame")
+def _path():
+    return Window.partitionBy("atom_id").orderBy("frame")
+
 
 
 def _step(held: DataFrame, to, origin):
@@ -23,7 +25,7 @@ def _step(held: DataFrame, to, origin):
 def velocities(atoms: DataFrame, frames: DataFrame, dt: float = 1.0) -> DataFrame:
     """atoms with vx, vy, vz from differences of the nearest images: forward in an atom's first frame, backward in its last, central between."""
     held = atoms.drop("vx", "vy", "vz").join(frames.select("frame", *LATTICE), "frame")
-    held = held.withColumns({f"{p}{c}": f(c).over(_PATH) for p, f in (("p", F.lag), ("n", F.lead)) for c in "xyz"})
+    held = held.withColumns({f"{p}{c}": f(c).over(_path()) for p, f in (("p", F.lag), ("n", F.lead)) for c in "xyz"})
     here, before, after = (tuple(F.col(f"{p}{c}") for c in "xyz") for p in ("", "p", "n"))
     ahead, behind, both = _step(held, after, here), _step(held, here, before), _step(held, after, before)
     v = [F.when(F.col("px").isNull() & F.col("nx").isNull(), 0.0).when(F.col("px").isNull(), ahead[k] / dt).when(F.col("nx").isNull(), behind[k] / dt).otherwise(both[k] / (2 * dt)) for k in range(3)]
@@ -33,10 +35,10 @@ def velocities(atoms: DataFrame, frames: DataFrame, dt: float = 1.0) -> DataFram
 def unwrap(atoms: DataFrame, frames: DataFrame) -> DataFrame:
     """atoms with ux, uy, uz: running sums of nearest-image steps from an atom's first position."""
     held = atoms.join(frames.select("frame", *LATTICE), "frame")
-    held = held.withColumns({f"p{c}": F.lag(c).over(_PATH) for c in "xyz"})
+    held = held.withColumns({f"p{c}": F.lag(c).over(_path()) for c in "xyz"})
     step = _step(held, tuple(F.col(c) for c in "xyz"), tuple(F.col(f"p{c}") for c in "xyz"))
     held = held.withColumns({f"u{c}": F.coalesce(step[k], F.col(c)) for k, c in enumerate("xyz")})
-    run = _PATH.rowsBetween(Window.unboundedPreceding, 0)
+    run = _path().rowsBetween(Window.unboundedPreceding, 0)
     return held.withColumns({f"u{c}": F.sum(f"u{c}").over(run) for c in "xyz"}).drop(*LATTICE, "px", "py", "pz")
 
 
@@ -184,11 +186,15 @@ def vdos(found: DataFrame, dt: float = 1.0, points: int = 2000, most_imaginary:
 def dedup_frames(atoms: DataFrame, eps: float = 1e-5) -> DataFrame:
     """frame, kept: a frame goes if it has as many atoms as the last kept frame and none of them moved by more than eps.
 
-    Every frame is first held against the start of its run of equal frames; the first that has moved away starts a run of its
-    own, until none has. What is repeated is a table with one row for each frame."""
+    A frame with an atom that moved by more than 2 eps since the frame before, or with another number of atoms, is kept in any
+    case: the frame before lies within eps of the last kept one. The others are held against the start of their run; the first
+    that has moved away starts a run of its own, until none has. What is repeated is a table with one row for each frame."""
+    order = Window.orderBy("frame")  # a row for each frame
     sizes = atoms.groupBy("frame").agg(F.count("*").alias("n"))
-    order = Window.orderBy("frame")
-    kept = materialised(sizes.select("frame", "n", (F.row_number().over(order) == 1).alias("kept")))
+    jump = sum(((F.col(c) - F.lag(c).over(_path())) ** 2 for c in "yz"), (F.col("x") - F.lag("x").over(_path())) ** 2)
+    jumps = atoms.withColumn("jump", jump).groupBy("frame").agg(F.max("jump").alias("jump"))
+    clear = F.coalesce((F.col("n") != F.lag("n").over(order)) | (F.col("jump") > 4 * eps * eps), F.lit(True))
+    kept = materialised(sizes.join(jumps, "frame").select("frame", "n", clear.alias("kept")))
     while True:
         anchored = kept.withColumn("anchor", F.max(F.when(F.col("kept"), F.col("frame"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         here = atoms.select("frame", "atom_id", "x", "y", "z").join(anchored.where(~F.col("kept")).select("frame", "anchor"), "frame")
