@@ -136,7 +136,7 @@ def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, extr
         for doc_ids, counts, packed in zip(left.column("ids").to_pylist(), left.column("counts").to_pylist(), left.column("packed").to_pylist(), strict=True):
             ranks, edges = _ranks(packed), np.cumsum([0, *counts])
             ids, at = joined(plain, ranks)
-            text, at_text = joined([s + b" " for s in shown], ranks)
+            text, at_text = joined([s + b" " if s else s for s in shown], ranks)
             for k, doc_id in enumerate(doc_ids):
                 a, b = edges[k], edges[k + 1]
                 own, own_text = ids[at[a] : at[b]], text[at_text[a] : at_text[b]][:-1]

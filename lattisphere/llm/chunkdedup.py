@@ -151,7 +151,8 @@ def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 
 def keep_deduped(docs: DataFrame) -> DataFrame:
     """The documents without their repeated passages, with their own columns; n_chars follows the text, and a document of which nothing is left goes."""
-    found = dedup(docs).where("n_removed < n_bytes or n_bytes = 0")
+    clash = {c: f"__{c}" for c in ("n_bytes", "n_removed", "n_spans") if c in docs.columns}
+    found = dedup(docs.withColumnsRenamed(clash)).where("n_removed < n_bytes or n_bytes = 0")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found.select(*[F.col(clash[c]).alias(c) if c in clash else c for c in docs.columns])

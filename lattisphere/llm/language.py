@@ -176,10 +176,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return model
 
 
-def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs with lang_pred and score."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score"))
-    docs = docs.drop("lang_pred", "score")
+def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs with the language and its score under these names, which take the place of columns of the same name."""
+    docs = docs.drop(*names)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each pair of languages
 
     def run(batches):
@@ -187,12 +187,12 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for piece in slices(batch):
                 texts = piece.column("text")
-                names, score = model.choose(model.margins(texts)) if model else (["und"] * len(texts), np.zeros(len(texts)))
+                found, score = model.choose(model.margins(texts)) if model else (["und"] * len(texts), np.zeros(len(texts)))
                 good = _letters(texts)
-                names = [x if ok else "und" for x, ok in zip(names, good, strict=True)]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(np.where(good, score, 0.0))], [*piece.schema.names, "lang_pred", "score"])
+                found = [x if ok else "und" for x, ok in zip(found, good, strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(np.where(good, score, 0.0))], [*piece.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(of: int = 4, kept_out: int = 2):
@@ -209,4 +209,5 @@ def identify(docs: DataFrame, of: int = 4, kept_out: int = 2) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5, of: int = 4, kept_out: int = 2) -> DataFrame:
     """The documents with a language, with their own columns: those that are `und` or below the least score go."""
     model = fit(docs.where(~held_out(of, kept_out)))
-    return predicted(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    own = ("__language", "__certainty")
+    return predicted(docs, model, own).where((F.col(own[0]) != "und") & (F.col(own[1]) >= least)).select(*docs.columns)

@@ -7,7 +7,8 @@ the rest are read in falling order of upper bound until the kth score found is a
 meet candidate blocks by an equi-join on block numbers, each pair leaves k rows for a question, and the best k of those follow.
 
 Questions are the rows whose vec_id is divisible by `every`, candidates all rows but the question's own (all rows of that
-vec_id). Ties go to the smaller vec_id; repeated rows count as often as they stand. Vectors that are null or hold a null or
+vec_id). Ties go to the smaller vec_id; repeated rows are candidates as often as they stand and one
+question; different vectors under one vec_id give the best k of both. Vectors that are null or hold a null or
 non-finite component, and rows with a null vec_id, take no part; vectors of unequal lengths are filled up with zeros; empty
 vectors score 0. Components beyond 2^20 in size make bounds and scores inexact only once sums pass 2^53.
 Other columns are ignored.
@@ -96,7 +97,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each question's k best candidates."""
     rows = _whole(embeddings)
     candidates, _ = staged(_blocks(rows, BLOCK_ROWS), "vectors")
-    asked, _ = staged(_blocks(rows.where(F.col("vec_id") % every == 0), ASKED_ROWS), "questions")
+    asked, _ = staged(_blocks(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), ASKED_ROWS), "questions")
     # every candidate block meets every block of questions: it names all their numbers, and both sides join on them
     numbered, _ = staged(asked.withColumn("q", F.row_number().over(Window.orderBy("block"))), "numbered")  # a row for each block
     pairs = candidates.select(F.col("block").alias("c"), F.explode(F.sequence(F.lit(1), F.lit(n_asked))).alias("q")) if (n_asked := numbered.count()) else candidates.select(F.col("block").alias("c"), F.lit(0).alias("q")).limit(0)
