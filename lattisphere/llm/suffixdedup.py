@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, ragged, removed_runs, span_hashes, staged, text_bytes, unpack_planes, without
 
-LENGTH, GRAM, BLOCK_TEXT, BUCKET_TEXT = 50, 16, 2 << 20, 8 << 20
+LENGTH, GRAM, BLOCK_TEXT, BUCKET_TEXT = 50, 16, 2 << 20, 4 << 20
 
 
 def words_at(data: np.ndarray, big: bool = False) -> np.ndarray:
