@@ -61,4 +61,21 @@ def op8_topk(spark, sf_dir):
 
 
 QUERIES = {"op1_token_store": op1_token_store, "op2_sharding": op2_sharding, "op3_chunk_dedup": op3_chunk_dedup, "op4_quality": op4_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_decontamination": op9_decontamination, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE: dict = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_SHINGLES = "unnest([array_to_string(w[i : i + n - 1], ' ') for i in range(1, len(w) - n + 2)])"
+
+#: DuckDB SQL where it can express a query; the others need XXH64, CRC-32, a tokenizer, a fitted model or byte strings.
+ORACLE = {
+    "op8_topk": """WITH v AS (SELECT vec_id, [floor(64 * CAST(e AS DOUBLE)) for e in embedding] AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([e for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0),
+ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ bn AS (SELECT item_id, w, least(5, len(w)) AS n FROM b WHERE len(w) > 0), bs AS (SELECT DISTINCT item_id, n, {_SHINGLES} AS s FROM bn),
+ ds AS (SELECT DISTINCT doc_id, n, {_SHINGLES} AS s FROM d CROSS JOIN (SELECT DISTINCT n FROM bn) WHERE len(w) >= n),
+ t AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id), m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM bs JOIN ds USING (n, s) GROUP BY doc_id, item_id)
+ SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item, n_shared / CAST(n_item AS DOUBLE) AS containment FROM m JOIN t USING (item_id) WHERE n_shared >= 0.8::DOUBLE * n_item""",
+}
