@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cross, dot, fractional, norm
 from .pairs import both_ways, periodic_pairs
 
-CHI_KEYS = ["frame", "atom_id"]
-
-
 def _legendre_derivative(degree: int, m: int) -> list[float]:
     """Coefficients of the mth derivative of the Legendre polynomial, lowest power first."""
-    return list(np.polynomial.legendre.leg2poly([0] * degree + [1])) if m == 0 else list(np.polynomial.polynomial.polyder(np.polynomial.legendre.leg2poly([0] * degree + [1]), m))
+    return list(np.polynomial.polynomial.polyder(np.polynomial.legendre.leg2poly([0] * degree + [1]), m))
 
 
 def harmonics(degree: int, x, y, z):
@@ -101,7 +98,7 @@ def chirality(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     legs = near.groupBy("frame", F.col("src").alias("atom_id")).agg(*[F.max(F.when(F.col("k") == k, F.struct("rx", "ry", "rz", "d"))).alias(f"v{k}") for k in (1, 2, 3)])
     v = [tuple(F.col(f"v{k}.r{c}") for c in "xyz") for k in (1, 2, 3)]
     chi = dot(cross(v[0], v[1]), v[2]) / (F.col("v1.d") * F.col("v2.d") * F.col("v3.d"))
-    return atoms.select(*CHI_KEYS, "element").join(legs.select(*CHI_KEYS, chi.alias("chi")), CHI_KEYS, "left").select(*CHI_KEYS, "element", F.coalesce("chi", F.lit(0.0)).alias("chi"))
+    return atoms.select("frame", "atom_id", "element").join(legs.select("frame", "atom_id", chi.alias("chi")), ["frame", "atom_id"], "left").select("frame", "atom_id", "element", F.coalesce("chi", F.lit(0.0)).alias("chi"))
 
 
 def local_entropy(atoms: DataFrame, frames: DataFrame, cutoff: float = 5.0, sigma: float = 0.2, step: float = 0.02) -> DataFrame:

@@ -22,10 +22,9 @@ class Meta:
 def wide(hist: DataFrame) -> DataFrame:
     """One row for each bin: x, each key in order, then each key smoothed (where y_smooth is there)."""
     keys = sorted(r[0] for r in hist.select("key").distinct().collect())  # names of partials, a few for each pair of elements
-    values = [F.first(F.when(F.col("key") == k, F.col("y"))).alias(k) for k in keys]
-    if "y_smooth" in hist.columns:
-        values += [F.first(F.when(F.col("key") == k, F.col("y_smooth"))).alias(f"{k}_smoothed") for k in keys]
-    return hist.groupBy("bin_idx", "x").agg(*[F.coalesce(F.max(F.when(F.col("key") == k, F.col(c))), F.lit(0.0)).alias(n) for c, tail in (("y", ""), *([("y_smooth", "_smoothed")] if "y_smooth" in hist.columns else [])) for k in keys for n in [f"{k}{tail}"]] if values else []).orderBy("bin_idx")
+    columns = [("y", ""), ("y_smooth", "_smoothed")][: 1 + ("y_smooth" in hist.columns)]
+    values = [F.coalesce(F.max(F.when(F.col("key") == k, F.col(c))), F.lit(0.0)).alias(f"{k}{tail}") for c, tail in columns for k in keys]
+    return hist.groupBy("bin_idx", "x").agg(*values).orderBy("bin_idx") if values else hist.select("bin_idx", "x")
 
 
 def write_csv(hist: DataFrame, path: str, meta: Meta | None = None) -> None:
