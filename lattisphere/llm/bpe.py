@@ -67,7 +67,7 @@ def _split(docs: DataFrame, path: str, buckets: int, most: int) -> DataFrame:
                 for k in np.flatnonzero(sizes):
                     own = listed[ends[k] - sizes[k] : ends[k]]
                     at = rank[order[ends[k] - sizes[k] : ends[k]]]
-                    rows.append((block, int(k), None, None, zstandard.compress("\n".join(own).encode(), 3) + _tail(_planes(at))))
+                    rows.append((block, int(k), None, None, zstandard.compress("\n".join(own).encode(), 3) + _tail(_planes(np.diff(at, prepend=0)))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], ["block", "bucket", "ids", "counts", "packed"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _KIND)
@@ -96,8 +96,7 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
             own, ranks = _words(packed.as_py())
             ids = [known[w] if w in known else known.setdefault(w, tool.encode(w)) for w in own]
             sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-            flat = np.concatenate([sizes, *ids]).astype("<u4") if ids else sizes
-            out.append(ranks + len(own).to_bytes(8, "little") + _tail(zstandard.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes(), 3)))
+            out.append(_tail(ranks) + _tail(_planes(sizes)) + _tail(_planes(np.concatenate(ids))))
         return pa.table({"block": part.column("block"), "coded": pa.array(out, pa.binary())})
 
     return words.groupBy("bucket").applyInArrow(run, "block long, coded binary")
@@ -107,11 +106,9 @@ def _table_of(coded: list[bytes]) -> list[np.ndarray]:
     """Ids of a block's words by rank."""
     ids: dict[int, np.ndarray] = {}
     for blob in coded:
-        rest, values = _two(blob)
-        n = int.from_bytes(rest[-8:], "little")
-        ranks, flat = _ranks(rest[:-8]), _ranks(values)
-        ends = np.cumsum(flat[:n])
-        ids.update(zip(ranks.tolist(), np.split(flat[n:], ends[:-1]), strict=True))
+        rest, flat = _two(blob)
+        ranks, sizes = map(_ranks, (_two(rest)[0][:-8], _two(rest)[1]))
+        ids.update(zip(np.cumsum(ranks).tolist(), np.split(_ranks(flat), np.cumsum(sizes)[:-1]), strict=True))
     return [ids[k] for k in range(len(ids))]
 
 
