@@ -24,7 +24,7 @@ from .shared import buffer_of, parts_for, slices, span_hashes, staged, text_byte
 from .wordbpe import coder, joined
 
 #: Text that shares one table of words, and text for each bucket of words.
-BLOCK_TEXT, BUCKET_TEXT = 8 << 20, 8 << 20
+BLOCK_TEXT, BUCKET_TEXT = 12 << 20, 8 << 20
 
 
 def _planes(ranks: np.ndarray) -> bytes:
