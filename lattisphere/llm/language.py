@@ -161,7 +161,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=1 << 21):
                 rows = _shares(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("lang"), pa.array([a.tolist() for a, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32()))], ["lang", "at", "share"])
 
@@ -185,7 +185,7 @@ def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("l
     def run(batches):
         model = held.value
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=1 << 21):
                 texts = piece.column("text")
                 found, score = model.choose(model.margins(texts)) if model else (["und"] * len(texts), np.zeros(len(texts)))
                 good = _letters(texts)
