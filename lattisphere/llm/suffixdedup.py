@@ -4,7 +4,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
 for one suffix array, so equal strings first meet in one place. In every string of LENGTH bytes one run of GRAM bytes has the
 least hash; equal strings choose equal runs, so the hash of the chosen run is a key under which all copies of a string meet.
 Blocks of documents name their keys; strings whose key two or more documents have are candidates. They go, as short snippets of text with the least doc_id that the
-block has for them, to the bucket of their key.
+block has for them, to the bucket of their key; strings of a key that very many blocks name go each to the bucket of its own
+hash, so a common run of bytes in ever new contexts does not meet in one place.
 
 A bucket holds its distinct snippets in one buffer and sorts the candidate suffixes in two stages (Itoh and Tanaka, 1999):
 suffixes smaller than their successors are sorted directly, on LENGTH bytes; a scan of the byte buckets in ascending order
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, ragged, removed_runs, span_hashes, staged, text_bytes, unpack_planes, without
 
 LENGTH, GRAM, BLOCK_TEXT, BUCKET_TEXT = 50, 16, 2 << 20, 4 << 20
+#: A key that so many blocks name is common: its strings are dealt one by one, by their own hash.
+COMMON = 256
 
 
 def words_at(data: np.ndarray, big: bool = False) -> np.ndarray:
@@ -84,15 +87,20 @@ class Grams:
         place[order] = np.cumsum(new) - 1
         return k[new], home[order][new], own[first] != own[last], place
 
-    def snippets(self, known: np.ndarray, place: np.ndarray, buckets: int):
+    def snippets(self, known: np.ndarray, common: np.ndarray, place: np.ndarray, buckets: int):
         """Candidate strings as runs of neighbouring starts with one chosen run: starts, lengths and bucket of each."""
-        good = known[place][np.searchsorted(self.picks, self.chosen)] if len(self.picks) else np.zeros(0, bool)
-        at, chosen = self.starts[good], self.chosen[good]
+        pick = np.searchsorted(self.picks, self.chosen)
+        good = known[place][pick] if len(self.picks) else np.zeros(0, bool)
+        at, chosen, alone = self.starts[good], self.chosen[good], common[place][pick][good] if len(self.picks) else good
         new = np.ones(len(at), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)
+        new[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1) | alone[1:]
         first = np.flatnonzero(new)
         counts = np.diff(np.concatenate([first, [len(at)]]))
-        home = (self.keys[np.searchsorted(self.picks, chosen[first])] % np.uint64(buckets)).astype(np.int64)
+        own = np.flatnonzero(alone[first])
+        key = self.keys[np.searchsorted(self.picks, chosen[first])]
+        if len(own):
+            key[own] = span_hashes(self.data, at[first][own], at[first][own] + self.length)
+        home = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         return at[first][order], counts[order], home[order]
 
@@ -180,31 +188,34 @@ def _keys(blocks: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
     return blocks.mapInArrow(run, "bucket int, block long, packed binary")
 
 
-def _shared_keys(asked: DataFrame) -> DataFrame:
-    """For each block and bucket a bit for each key that it named: whether another block named it."""
+def _shared_keys(asked: DataFrame, common: int) -> DataFrame:
+    """For each block and bucket two bits for each key that it named: whether another block named it, and whether `common` blocks did."""
 
     def run(part: pa.Table) -> pa.Table:
         each = [np.cumsum(unpack_planes(x, np.uint64)) for x in part.column("packed").to_pylist()]
         keys = np.concatenate(each)
         order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        twice = np.zeros(len(keys), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(x) for x in each])[:-1])]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        first = np.flatnonzero(new)
+        times = np.empty(len(keys), np.int64)
+        times[order] = np.diff(np.concatenate([first, [len(keys)]]))[np.cumsum(new) - 1]
+        bits = [np.packbits(np.concatenate([x > 1, x >= common])).tobytes() for x in np.split(times, np.cumsum([len(x) for x in each])[:-1])]
         return pa.table({"block": part.column("block"), "bucket": part.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, bits binary")
 
 
-def _known(told: pa.Table, home: np.ndarray, local: np.ndarray, buckets: int) -> np.ndarray:
-    """Which of a block's keys two or more documents have."""
-    known, edges = local.copy(), np.searchsorted(home, np.arange(buckets + 1))
+def _known(told: pa.Table, home: np.ndarray, local: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a block's keys two or more documents have, and which are common."""
+    known, common, edges = local.copy(), np.zeros(len(local), bool), np.searchsorted(home, np.arange(buckets + 1))
     for bucket, bits in zip(told.column("bucket").to_pylist(), told.column("bits").to_pylist(), strict=True):
         if bits is not None:
-            n = edges[bucket + 1] - edges[bucket]
-            known[edges[bucket] : edges[bucket + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    return known
+            own, n = slice(edges[bucket], edges[bucket + 1]), edges[bucket + 1] - edges[bucket]
+            both = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * n).astype(bool)
+            known[own] |= both[:n]
+            common[own] = both[n:]
+    return known, common
 
 
 class _Asked:
@@ -215,7 +226,7 @@ class _Asked:
         ids = doc_ids(self.rows.column("doc_id"))
         g = self.grams = Grams(self.rows.column("text"), ids, length, gram)
         _, home, local, place = g.distinct(buckets)
-        self.starts, self.counts, self.home = g.snippets(_known(told, home, local, buckets), place, buckets)
+        self.starts, self.counts, self.home = g.snippets(*_known(told, home, local, buckets), place, buckets)
         self.row = np.searchsorted(g.offsets, self.starts, "right") - 1
         own = ids[self.row]
         h = span_hashes(g.data, self.starts, self.starts + self.counts + length - 1)
@@ -285,11 +296,11 @@ def _resolved(strings: DataFrame, length: int) -> DataFrame:
     return strings.groupBy("bucket").applyInArrow(run, "block long, bucket int, least binary")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, common: int = COMMON, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (with_text: and the kept bytes)."""
     buckets = parts_for(text_bytes(docs), BUCKET_TEXT, 32)
     blocks, _ = staged(packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BLOCK_TEXT), "blocks")
-    told = _shared_keys(_keys(blocks, buckets, length, gram))
+    told = _shared_keys(_keys(blocks, buckets, length, gram), common)
     least = _resolved(_strings(blocks, told, buckets, length, gram), length)
     both = told.withColumn("least", F.lit(None).cast("binary")).unionByName(least.withColumn("bits", F.lit(None).cast("binary")))
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text

@@ -185,8 +185,9 @@ def cut(rows, length):
 
 
 def test_suffix_dedup(docs, empty, rows):
-    got = sorted((2**63 - 1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in suffixdedup.dedup(docs).collect())
-    assert got == cut(rows, 50)
+    for common in (suffixdedup.COMMON, 1):
+        got = sorted((2**63 - 1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in suffixdedup.dedup(docs, common=common).collect())
+        assert got == cut(rows, 50)
     assert suffixdedup.dedup(empty).count() == 0
 
 
