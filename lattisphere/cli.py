@@ -6,14 +6,14 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans.analysis import CALCULATORS, MATERIALS, Analysis, Options
+from .plans.analysis import CALCULATORS, MATERIALS, Analysis, Options, get_calculator
 from .sources.reader import read_structures
 from .sources.sinks import summary_text, write_hist
 
 
 def options_of(args: argparse.Namespace) -> Options:
     base = dict(vars(MATERIALS[args.material])) if args.material else {"angle_width": 0.25}
-    for name in ("r_max", "dr", "q_max", "dq", "angle_width", "ring_size", "time_step", "sigma", "kernel"):
+    for name in ("r_max", "dr", "q_max", "dq", "angle_width", "ring_size", "time_step", "sigma", "kernel", "xrd_from"):
         if getattr(args, name) is not None:
             base[name] = getattr(args, name)
     base["start"], base["end"] = max(0, args.first - 1), args.last
@@ -35,6 +35,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--last", type=int, default=-1)
     p.add_argument("--calculators", default="", help=", ".join(CALCULATORS))
     p.add_argument("--disable-groups", default="")
+    p.add_argument("--xrd-from", choices=("S", "g"))
+    p.add_argument("--no-smoothing", action="store_true")
     p.add_argument("--summary", action="store_true")
     return p
 
@@ -46,11 +48,16 @@ def main(argv: list[str] | None = None) -> int:
     analysis = Analysis(*read_structures(spark, args.path, args.format), options)
     failed = 0
     for short, found in analysis.run().items():
+        found = found.persist()  # bins and keys of a few histograms
         for name in [r[0] for r in found.select("hist").distinct().collect()]:  # a few names
-            errors = write_hist(found.where(found["hist"] == name), f"{args.out}/{name.replace(' ', '_')}", tuple(args.write.split(",")))
+            own = found.where(found["hist"] == name)
+            if not args.no_smoothing and not get_calculator(short).trajectory:
+                own = analysis.smoothed(own)
+            errors = write_hist(own, f"{args.out}/{name.replace(' ', '_')}", tuple(args.write.split(",")))
             failed += bool(errors)
             for kind, why in errors.items():
                 print(f"{short}: {kind}: {why}")
+        found.unpersist()
     if args.summary:
         print(summary_text(analysis.summary()))
     return int(failed > 0)

@@ -55,6 +55,21 @@ def smooth(hist: DataFrame, n_bins: int, dx: float, sigma: float = 0.1, kind: st
     return asked.join(source, ["hist", "key", "at"]).groupBy("hist", "bin_idx", "x", "key", "y").agg(F.sum(F.col("s.w") * F.col("v")).alias("y_smooth"))
 
 
+def smoothed(hist: DataFrame, sigma: float = 0.1, kind: str = "gaussian") -> DataFrame:
+    """One histogram, with bins that it lacks as zeros, and y_smooth; unchanged where it has no axis of two bins or more.
+
+    Sigma is 15 times as wide for distributions of angles, and a bin at least."""
+    axis = hist.agg(F.min("bin_idx"), F.max("bin_idx"), F.min("x"), F.max("x"), F.min("hist")).first()  # one row
+    low, high, x0, x1, name = axis
+    if low is None or high == low or x1 <= x0:
+        return hist
+    dx = (x1 - x0) / (high - low)
+    keys = hist.select("hist", "key").distinct().withColumn("bin_idx", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    dense = keys.join(hist.select("hist", "key", "bin_idx", "y"), ["hist", "key", "bin_idx"], "left").select("hist", "key", (F.col("bin_idx") - low).alias("bin_idx"), (x0 + (F.col("bin_idx") - low) * dx).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    wide = sigma * (15 if name in ("BAD", "PAD", "PAD_raw", "DAD", "DAD_raw") else 1)
+    return smooth(dense, int(high - low + 1), dx, max(dx, wide), kind).withColumn("bin_idx", F.col("bin_idx") + low)
+
+
 def trapezoid(series: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """The integral of y over x for each group."""
     w = Window.partitionBy(*by).orderBy(x) if by else Window.orderBy(x)

@@ -151,5 +151,28 @@ def signature_ranking(cells: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("n"), "signature")))
 
 
-def coordination_of_cells(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("frame", F.col("faces").alias("bin_idx")).agg(F.count("*").alias("n"))
+def signature_places(cells: DataFrame) -> DataFrame:
+    """bin_idx, signature, n: the signatures of all frames by count, then name, so that frames share one axis."""
+    from pyspark.sql import Window
+
+    counts = cells.groupBy("signature").agg(F.count("*").alias("n"))  # as many rows as kinds of cell
+    return counts.select((F.row_number().over(Window.orderBy(F.desc("n"), "signature")) - 1).cast("long").alias("bin_idx"), "signature", "n")
+
+
+def _shares(cells: DataFrame, name: str, bins, x) -> DataFrame:
+    """frame, hist, bin_idx, x, key (element, Total), y: the share of the frame's cells in each bin."""
+    counts = cells.select("frame", bins.cast("long").alias("bin_idx"), F.explode(F.array("element", F.lit("Total"))).alias("key")).where("bin_idx is not null").groupBy("frame", "bin_idx", "key").agg(F.count("*").alias("n"))
+    total = cells.groupBy("frame").agg(F.count("*").alias("all"))
+    return counts.join(total, "frame").select("frame", F.lit(name).alias("hist"), "bin_idx", x.cast("double").alias("x"), "key", (F.col("n") / F.col("all")).alias("y"))
+
+
+def distributions(cells: DataFrame, n_bins: int = 100) -> DataFrame:
+    """Volumes (bins up to 1.2 times the largest of all frames), sphericities (0 to 1), faces, and signatures by their place in signature_places."""
+    width = 1.2 * (cells.agg(F.max("volume")).first()[0] or 100.0 / 1.2) / n_bins
+    k = F.col("bin_idx")
+    volume = _shares(cells, "Voronoi Volume", F.floor(F.col("volume") / width), (k + 0.5) * width)
+    ball = F.when(F.col("sphericity") < 1, F.floor(F.col("sphericity") * n_bins))
+    sphericity = _shares(cells, "Voronoi Sphericity", ball, (k + 0.5) / n_bins)
+    faces = _shares(cells, "Voronoi Coordination Number", F.col("faces"), k)
+    placed = cells.join(signature_places(cells).drop("n"), "signature")
+    return volume.unionByName(sphericity).unionByName(faces).unionByName(_shares(placed, "Voronoi Signatures", F.col("bin_idx"), k))

@@ -31,6 +31,7 @@ class Options:
     sigma: float = 0.1
     kernel: str = "gaussian"
     wavelength: float = 1.5406
+    xrd_from: str = "S"  # or "g": from structure factors or from weighted partials
     start: int = 0
     end: int = -1
     ignore_self: bool = True
@@ -42,6 +43,8 @@ class Options:
         for name in ("r_max", "dr", "q_max", "dq", "angle_width", "time_step", "sigma", "wavelength"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
+        if self.xrd_from not in ("S", "g"):
+            raise ValueError("diffraction is found from S or g")
         if self.ring_size < 3:
             raise ValueError("rings have three atoms or more")
 
@@ -81,6 +84,8 @@ class Calculator:
 
 
 CALCULATORS: dict[str, Calculator] = {}
+#: Other names of calculators, which run only when asked for by name; Spark chooses the hardware.
+ALIASES = {"BAD": "PAD", "S_Q_GPU": "S_K", "Steinhardt_GPU": "Steinhardt"}
 
 
 def register_operator(name: str, short: str, group: str, trajectory: bool = False):
@@ -98,8 +103,8 @@ def list_operators() -> list[Calculator]:
 
 
 def get_calculator(name: str) -> Calculator:
-    """By short or full name."""
-    found = CALCULATORS.get(name) or next((c for c in CALCULATORS.values() if c.name == name), None)
+    """By short or full name, or by an alias."""
+    found = CALCULATORS.get(ALIASES.get(name, name)) or next((c for c in CALCULATORS.values() if c.name == name), None)
     if found is None:
         raise KeyError(name)
     return found
@@ -173,8 +178,9 @@ class Analysis:
         chosen = [get_calculator(n) for n in names] if names else self.active()
         return {c.short: c.run(self) if c.trajectory else hist.frame_mean(c.run(self), self.frames) for c in chosen}
 
-    def smoothed(self, found: DataFrame, n_bins: int, dx: float, wide: float = 1.0) -> DataFrame:
-        return hist.smooth(found, n_bins, dx, max(dx, self.options.sigma * wide), self.options.kernel)
+    def smoothed(self, found: DataFrame) -> DataFrame:
+        """One histogram with y_smooth, by the options' sigma and kernel."""
+        return hist.smoothed(found, self.options.sigma, self.options.kernel)
 
     def summary(self) -> dict[str, float | None]:
         tau = dynamics.relaxation_time(self.vacf).first()
@@ -197,6 +203,9 @@ def _sk(a: Analysis):
 
 @register_operator("X-ray diffraction", "XRD", "Scattering")
 def _xrd(a: Analysis):
+    if a.options.xrd_from == "g":
+        g = a.rdf.where("hist = 'g_r' and key <> 'Total'").join(radial.pair_weights(a.atoms).select("frame", "key", "w"), ["frame", "key"])
+        return _hist(scattering.xrd_from_g(g, a.atoms, a.frames, a.options.wavelength, dr=a.options.dr), "XRD", F.col("x"), F.col("y"))
     return _hist(scattering.xrd_from_s(a.structure_factor, a.atoms, a.options.wavelength), "XRD", F.col("x"), F.col("y"))
 
 
@@ -223,7 +232,9 @@ def _cna(a: Analysis):
 
 @register_operator("Ring distribution", "RD", "Rings")
 def _rd(a: Analysis):
-    return _hist(topology.ring_sizes(topology.rings(a.bonds, a.options.ring_size)).withColumn("bin_idx", F.col("size")), "RD", F.col("size"), F.col("fraction"))
+    sizes = topology.ring_sizes(topology.rings(a.bonds, a.options.ring_size))
+    both = sizes.withColumns({"bin_idx": F.col("size"), "key": F.explode(F.array(F.lit("Rings"), F.lit("Total")))})
+    return _hist(both, "RD", F.col("size"), F.col("fraction"), F.col("key"))
 
 
 @register_operator("Cluster sizes", "Clusters", "Topology")
@@ -257,10 +268,7 @@ def _lef(a: Analysis):
 
 @register_operator("Voronoi tessellation", "Voronoi", "Structural")
 def _voronoi(a: Analysis):
-    cells = voronoi.voronoi_cells(a.atoms, a.frames)
-    faces = _hist(voronoi.coordination_of_cells(cells), "Coordination Number", F.col("bin_idx"), F.col("n"))
-    ranked = voronoi.signature_ranking(cells)
-    return faces.unionByName(ranked.select("frame", F.lit("Signatures").alias("hist"), F.lit(0).cast("long").alias("bin_idx"), F.lit(0.0).alias("x"), F.col("signature").alias("key"), F.col("n").cast("double").alias("y")))
+    return voronoi.distributions(voronoi.voronoi_cells(a.atoms, a.frames))
 
 
 @register_operator("Density grid", "SDF", "Structural")

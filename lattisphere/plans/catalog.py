@@ -308,12 +308,23 @@ def voronoi_signatures(spark, d):
     return voronoi.signature_ranking(voronoi.voronoi_cells(atoms, cube(atoms))).select("signature", "n", "rank")
 
 
+@query("voronoi_hist")
+def voronoi_hist(spark, d):
+    atoms = points(spark, d)
+    return voronoi.distributions(voronoi.voronoi_cells(atoms, cube(atoms))).select("hist", "bin_idx", near("x", 4).alias("x"), "key", near("y").alias("y"))
+
+
 # --- scattering ---------------------------------------------------------------------------------------------------------------
 
 _Q = "sqrt(h * h + k * k + l * l) * 2 * pi() / 20"
 
 
-@query("sq_small", f"WITH {POINTS_SQL}, t AS (SELECT g - 7 AS v FROM range(15) x(g)), q AS (SELECT a.v AS h, b.v AS k, c.v AS l, sqrt(a.v * a.v + b.v * b.v + c.v * c.v) * (2 * pi() / 20) AS q FROM t a, t b, t c WHERE a.v <> 0 OR b.v <> 0 OR c.v <> 0), s AS (SELECT h, k, l, q, element, sum(cos(2 * pi() / 20 * (h * x + k * y + l * z))) AS c, sum(sin(2 * pi() / 20 * (h * x + k * y + l * z))) AS s, count(*) AS n FROM q CROSS JOIN atoms WHERE q <= 2 AND floor(q / 0.13::DOUBLE) < 15 GROUP BY ALL), w AS (SELECT h, k, l, q, pow(sum(c), 2) + pow(sum(s), 2) AS p, sum(n) AS n FROM s GROUP BY h, k, l, q), v AS (SELECT q, 'Total' AS key, p / n AS y FROM w UNION ALL SELECT a.q, a.element || '-' || b.element, (a.c * b.c + a.s * b.s) / sqrt(a.n * b.n) FROM s a JOIN s b ON a.h = b.h AND a.k = b.k AND a.l = b.l AND a.element <= b.element) SELECT CAST(floor(q / 0.13::DOUBLE) AS BIGINT) AS bin_idx, key, {r('avg(y)', 5)} AS y, CAST(count(*) AS BIGINT) AS n_q FROM v GROUP BY 1, 2")
+def _sq(q_max: int, reach: int) -> str:
+    """CTEs up to v (q, key, y): structure factors of every reciprocal vector up to q_max, whose indices lie within the reach."""
+    return f"WITH {POINTS_SQL}, t AS (SELECT g - {reach} AS v FROM range({2 * reach + 1}) x(g)), q AS (SELECT a.v AS h, b.v AS k, c.v AS l, sqrt(a.v * a.v + b.v * b.v + c.v * c.v) * (2 * pi() / 20) AS q FROM t a, t b, t c WHERE a.v <> 0 OR b.v <> 0 OR c.v <> 0), s AS (SELECT h, k, l, q, element, sum(cos(2 * pi() / 20 * (h * x + k * y + l * z))) AS c, sum(sin(2 * pi() / 20 * (h * x + k * y + l * z))) AS s, count(*) AS n FROM q CROSS JOIN atoms WHERE q <= {q_max} AND floor(q / 0.13::DOUBLE) < floor({q_max} / 0.13::DOUBLE) GROUP BY ALL), w AS (SELECT h, k, l, q, pow(sum(c), 2) + pow(sum(s), 2) AS p, sum(n) AS n FROM s GROUP BY h, k, l, q), v AS (SELECT q, 'Total' AS key, p / n AS y FROM w UNION ALL SELECT a.q, a.element || '-' || b.element, (a.c * b.c + a.s * b.s) / sqrt(a.n * b.n) FROM s a JOIN s b ON a.h = b.h AND a.k = b.k AND a.l = b.l AND a.element <= b.element)"
+
+
+@query("sq_small", f"{_sq(2, 7)} SELECT CAST(floor(q / 0.13::DOUBLE) AS BIGINT) AS bin_idx, key, {r('avg(y)', 5)} AS y, CAST(count(*) AS BIGINT) AS n_q FROM v GROUP BY 1, 2")
 def sq_small(spark, d):
     atoms = points(spark, d)
     return scattering.structure_factor(atoms, cube(atoms), 2.0, 0.13).select("bin_idx", "key", near("y", 5).alias("y"), "n_q")
@@ -341,7 +352,11 @@ def xrd_from_g(spark, d):
     return scattering.xrd_from_g(g, atoms, frames, width=0.5, dr=DR).select("bin_idx", near("x").alias("x"), near("y", 4).alias("y"))
 
 
-@query("xrd_from_s")
+_LEGS = "b AS (SELECT key, (floor(q / 0.13::DOUBLE) + 0.5) * 0.13::DOUBLE AS x, avg(y) AS y FROM v WHERE key <> 'Total' GROUP BY 1, 2), legs AS (SELECT key, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w AS k FROM b WINDOW w AS (PARTITION BY key ORDER BY x))"
+_ANGLES = "th AS (SELECT CAST(k AS BIGINT) AS bin_idx, 10 + k * 0.5::DOUBLE AS two, 4 * pi() * sin(radians((10 + k * 0.5::DOUBLE) / 2)) / 1.5406::DOUBLE AS q FROM range(261) t(k))"
+
+
+@query("xrd_from_s", f"{_sq(3, 10)}, {_LEGS}, {_ANGLES}, el AS (SELECT element, count(*) / CAST((SELECT count(*) FROM atoms) AS DOUBLE) AS c FROM atoms GROUP BY element), own AS (SELECT bin_idx, two, sum(c * pow({_factors('element', 'q')}, 2)) AS own FROM th, el GROUP BY bin_idx, two), z AS (SELECT bin_idx, th.q AS q, split_part(key, '-', 1) AS ei, split_part(key, '-', 2) AS ej, CASE WHEN th.q < x OR x2 IS NULL THEN y ELSE y + (y2 - y) * (th.q - x) / (x2 - x) END AS s FROM legs JOIN th ON (th.q >= x AND th.q < x2) OR (k = 1 AND th.q < x) OR (x2 IS NULL AND th.q >= x)), c AS (SELECT bin_idx, sum((CASE WHEN ei = ej THEN 1 ELSE 2 END) * sqrt(a.c * b.c) * {_factors('ei', 'q')} * {_factors('ej', 'q')} * (s - (CASE WHEN ei = ej THEN 1 ELSE 0 END))) AS c FROM z JOIN el a ON a.element = ei JOIN el b ON b.element = ej GROUP BY bin_idx) SELECT bin_idx, {r('two')} AS x, {r('own + c', 4)} AS y FROM own JOIN c USING (bin_idx)")
 def xrd_from_s(spark, d):
     atoms = points(spark, d)
     s = scattering.structure_factor(atoms, cube(atoms), 3.0, 0.13)

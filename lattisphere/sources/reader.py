@@ -40,6 +40,36 @@ def _frames_of_dump(spark: SparkSession, path) -> DataFrame:
     return parsed.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("block", "row")) - 1).select("path", F.col("place").cast("long").alias("place"), "lattice", "energy", "symbols", "positions")
 
 
+#: Formats that Spark splits at a mark: the mark, and the part of a file's first record that every frame needs before its own.
+MARKS = {"xdatcar": ("Direct configuration=", "(?s)(.*)"), "pdb": ("\nENDMDL", "(?m)(^CRYST1.*$)")}
+#: Heads of all files together go to every task up to this size; beyond it they meet the frames by path.
+HEADS = 8 << 20
+
+
+def _frames_at_marks(spark: SparkSession, path, fmt: str) -> DataFrame:
+    """The frames of large trajectories whose frames stand between marks; one file is read by many tasks."""
+    mark, needed = MARKS[fmt]
+    records = spark.read.option("lineSep", mark).text(path)
+    records = records.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+    heads = records.where("at.block = 0").groupBy("path").agg(F.min_by(F.regexp_extract("value", needed, 1), "at").alias("head"), F.min("at").alias("first"))
+    size = heads.agg(F.sum(F.octet_length("head") + 64)).first()[0] or 0
+    met = records.join(F.broadcast(heads) if size <= HEADS else heads, "path")
+    if fmt == "xdatcar":  # the first record is the head itself
+        met = met.where("at <> first")
+
+    def run(batches):
+        for rows in batches:
+            at, found = [], []
+            for name, place, head, value in zip(rows["path"], rows["at"], rows["head"], rows["value"], strict=True):
+                for f in formats.parse(f"{head}{mark}{value}" if fmt == "xdatcar" else f"{head}\n{value}", fmt):
+                    at.append((name, place["block"], place["row"]))
+                    found.append(f)
+            yield pd.DataFrame({**{c: [a[k] for a in at] for k, c in enumerate(("path", "block", "row"))}, "lattice": [f.lattice for f in found], "energy": [f.energy for f in found], "symbols": [f.symbols for f in found], "positions": [f.positions for f in found]})
+
+    parsed = met.mapInPandas(run, "path string, block long, row long, lattice array<double>, energy double, symbols array<string>, positions array<array<double>>")
+    return parsed.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("block", "row")) - 1).select("path", F.col("place").cast("long").alias("place"), "lattice", "energy", "symbols", "positions")
+
+
 def tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(frames, atoms) of rows with one frame each; frames are numbered by file name and place."""
     numbers = rows.select("path", "place").withColumn("frame", (F.row_number().over(Window.orderBy("path", "place")) - 1).cast("long"))  # a narrow row for each frame
@@ -55,9 +85,12 @@ def tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_structures(spark: SparkSession, path, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(frames, atoms) of a file, folder or pattern, of single structures and trajectories alike.
 
-    fmt: a name of formats.PARSERS; by default from each file's name and first lines. LAMMPS dumps are split by frames."""
+    fmt: a name of formats.PARSERS; by default from each file's name and first lines. With lammps, xdatcar or pdb named, many
+    tasks read one file, split at its frames (an xdatcar whose frames begin with "Direct configuration="; frames without atoms are left out)."""
     if fmt == "lammps":
         return tables(_frames_of_dump(spark, path))
+    if fmt in MARKS:
+        return tables(_frames_at_marks(spark, path, fmt).where(F.size("symbols") > 0))
     return tables(_frames_of_files(spark, path, fmt))
 
 

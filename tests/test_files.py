@@ -40,6 +40,19 @@ def test_lammps_split_by_frames(spark, tmp_path):
         assert [round(r[5], 6) for r in rows[1::2]] == [1.0, 2.0, 3.0, 4.0, 5.0]
 
 
+def test_xdatcar_and_pdb_split_by_frames(spark, tmp_path):
+    frames_text = "".join(f"Direct configuration= {k}\n0 0 0\n0.5 0.5 0.5\n0.25 0 0.{k}\n" for k in (1, 2, 3))
+    (tmp_path / "a.xdatcar").write_text(POSCAR.split("Direct")[0] + frames_text)
+    atom = "ATOM      1  SI  UNK     1    {:8.3f}{:8.3f}{:8.3f}  1.00  0.00          SI"
+    body = "".join(f"MODEL     {k}\n" + atom.format(k, 2, 3) + "\nENDMDL    \n" for k in (1, 2, 3))
+    (tmp_path / "a.pdb").write_text("CRYST1   10.000   11.000   12.000  90.00  90.00  90.00 P 1\n" + body + "END\n")
+    for fmt in ("xdatcar", "pdb"):
+        path = f"file://{tmp_path}/a.{fmt}"
+        whole, parts = read_structures(spark, path), read_structures(spark, path, fmt)
+        for one_way, other in zip(whole, parts, strict=True):
+            assert sorted(map(tuple, one_way.collect())) == sorted(map(tuple, other.collect())) and other.count() >= 3
+
+
 def test_xyz():
     text = '2\nLattice="5 0 0 0 6 0 0 0 7" Properties=pos:R:3:species:S:1 energy=-1.5\n1 2 3 Si\n4 5 6 O\n' * 2
     found = one(text, "xyz")
@@ -126,3 +139,19 @@ def test_stream_of_frames(spark, tmp_path):
     q = element_profile(stream, 1.0).writeStream.format("memory").queryName("profile").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.bin_idx, r.key, r.y) for r in spark.table("profile").collect()] == [(1, "Si", 2.0)]
+
+
+def test_stream_unwraps(spark, tmp_path):
+    from lattisphere.streaming.online import online_unwrap
+
+    schema = "frame long, atom_id long, element string, x double, y double, z double"
+    steps = [(t, a, "Si", (9.0 + 0.7 * t + a) % 10, 5.0, (1.0 - 0.4 * t) % 10) for t in range(12) for a in (0, 1)]
+    for k in range(3):  # three batches, each with its frames out of order
+        spark.createDataFrame(steps[8 * k : 8 * k + 8][::-1], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = online_unwrap(stream, [10, 0, 0, 0, 10, 0, 0, 0, 10]).writeStream.format("memory").queryName("places").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
+    assert q.awaitTermination(120)
+    got = {(r.frame, r.atom_id): (r.x, r.y, r.z) for r in spark.table("places").collect()}
+    assert len(got) == 24
+    for (t, a), place in got.items():
+        assert np.allclose(place, [(9.0 + a) % 10 + 0.7 * t, 5.0, 1.0 - 0.4 * t])

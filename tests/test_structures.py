@@ -103,6 +103,25 @@ def test_voronoi(spark, kind, faces, ball):
         assert abs(r.volume - share) < 1e-6 * share and r.faces == faces and abs(r.sphericity - ball) < 0.01
 
 
+def test_voronoi_distributions(spark):
+    cells = spark.createDataFrame([(0, 0, "Si", 10.0, 0.9, 12, "a"), (0, 1, "O", 5.0, 0.8, 6, "b"), (1, 0, "Si", 10.0, 0.9, 12, "b"), (1, 1, "O", 10.0, 0.8, 6, "b")], "frame long, atom_id long, element string, volume double, sphericity double, faces long, signature string")
+    got = {(r.frame, r.hist, r.bin_idx, r.key): r.y for r in voronoi.distributions(cells).collect()}
+    assert got[0, "Voronoi Volume", 83, "Total"] == 0.5 and got[1, "Voronoi Volume", 83, "Total"] == 1.0 and got[0, "Voronoi Volume", 41, "O"] == 0.5
+    assert got[0, "Voronoi Sphericity", 80, "O"] == 0.5 and got[0, "Voronoi Coordination Number", 12, "Si"] == 0.5
+    assert got[1, "Voronoi Signatures", 0, "Total"] == 1.0 and got[0, "Voronoi Signatures", 1, "Si"] == 0.5
+    assert voronoi.distributions(cells.limit(0)).count() == 0
+
+
+def test_smoothing_fills_gaps(spark):
+    rows = [("h", k, k + 0.5, "A", 1.0) for k in (3, 4, 7)]
+    found = spark.createDataFrame(rows, "hist string, bin_idx long, x double, key string, y double")
+    got = {r.bin_idx: (r.x, r.y, r.y_smooth) for r in hist.smoothed(found, 0.5).collect()}
+    w = hist.kernel(5, 1.0, 1.0)
+    assert sorted(got) == [3, 4, 5, 6, 7] and got[5][:2] == (5.5, 0.0)
+    assert abs(got[5][2] - (w[0] + w[1] + w[4])) < 1e-12 and abs(got[3][2] - (w[0] + w[1] + w[2] + w[3])) < 1e-12
+    assert "y_smooth" not in hist.smoothed(found.where("bin_idx = 3"), 0.5).columns
+
+
 def test_voronoi_fills_the_cell(spark):
     rng = np.random.default_rng(1)
     atoms = spark.createDataFrame([(0, k, "Si", *rng.uniform(0, 8, 3).tolist()) for k in range(40)], ATOM)
@@ -230,10 +249,14 @@ def test_analysis(spark, tmp_path):
     assert {(r.key, r.bin_idx): r.y for r in out["CN"].collect()}[("Cu-Cu", 12)] == 32
     assert [(r.bin_idx, r.y) for r in out["Clusters"].collect()] == [(32, 1.0)]
     assert len(list_operators()) >= 18 and get_calculator("RDF").short == "RDF"
+    assert get_calculator("BAD").short == "PAD" and get_calculator("S_Q_GPU").short == "S_K"
+    by_g = Analysis(frames, atoms, Options(r_max=3.0, dr=0.05, xrd_from="g")).run(["XRD"])["XRD"]
+    assert by_g.where("y is null").count() == 0 and by_g.count() == 2601
     register_operator("Atoms", "N", "Own")(lambda x: x.atoms.groupBy("frame").agg(F.count("*").cast("double").alias("y")).selectExpr("frame", "'N' hist", "0L bin_idx", "0.0D x", "'Total' key", "y"))
     assert a.run(["N"])["N"].first().y == 32.0
     Options(r_max=7.0).save("mine", str(tmp_path))
     assert Options.load("mine", str(tmp_path)).r_max == 7.0 and list_presets(str(tmp_path)) == ["mine"]
     delete_preset("mine", str(tmp_path))
-    with pytest.raises(ValueError):
-        Options(dr=0)
+    for wrong in ({"dr": 0}, {"xrd_from": "x"}):
+        with pytest.raises(ValueError):
+            Options(**wrong)
