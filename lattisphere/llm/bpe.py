@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, parts_for, slices, span_hashes, staged, text_bytes
+from .shared import buffer_of, parts_for, slices, span_hashes, staged, text_bytes, tidy
 from .wordbpe import coder, joined
 
 #: Text that shares one table of words, and text for each bucket of words.
@@ -70,7 +70,7 @@ def _split(docs: DataFrame, path: str, buckets: int, most: int) -> DataFrame:
                     rows.append((block, int(k), None, None, zstandard.compress("\n".join(own).encode(), 3) + _tail(_planes(np.diff(at, prepend=0)))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], ["block", "bucket", "ids", "counts", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _KIND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), _KIND)
 
 
 def _tail(blob: bytes) -> bytes:
@@ -99,7 +99,7 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
             out.append(_tail(ranks) + _tail(_planes(sizes)) + _tail(_planes(np.concatenate(ids))))
         return pa.table({"block": part.column("block"), "coded": pa.array(out, pa.binary())})
 
-    return words.groupBy("bucket").applyInArrow(run, "block long, coded binary")
+    return words.groupBy("bucket").applyInArrow(tidy(run), "block long, coded binary")
 
 
 def _table_of(coded: list[bytes]) -> list[np.ndarray]:
@@ -149,7 +149,7 @@ def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, extr
             columns.append(pa.array([x.tobytes().decode() for x in all_text], pa.string()))
         return pa.table(columns, schema=schema)
 
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join, fields)
+    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(tidy(join), fields)
 
 
 def _pieces(tool) -> list[bytes]:

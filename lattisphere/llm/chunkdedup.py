@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, removed_runs, staged, text_bytes, unpack_planes, with_text, without
+from .shared import buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, removed_runs, staged, text_bytes, tidy, unpack_planes, with_text, without
 
 LEAST_CHUNK, MEAN_CHUNK, MOST_CHUNK, LEAST_RUN, BUCKET_TEXT = 16, 32, 256, 100, 8 << 20
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -86,7 +86,7 @@ def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["bucket", "block", "digests", "least"])
 
-    return blocks.mapInArrow(run, "bucket int, block long, digests binary, least binary")
+    return blocks.mapInArrow(tidy(run), "bucket int, block long, digests binary, least binary")
 
 
 def _answers(asked: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _answers(asked: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["block", "bucket", "places", "least"])
 
-    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, places binary, least binary")
+    return asked.groupBy("bucket").applyInArrow(tidy(run), "block long, bucket int, places binary, least binary")
 
 
 def long_runs(dup: np.ndarray, rows: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
@@ -146,7 +146,7 @@ def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
         return pa.table([*columns, pa.array(np.diff(chunks.offsets)), pa.array(n_removed), pa.array(n_spans)], names=[*rows.schema.names, "n_bytes", "n_removed", "n_spans"])
 
     fields = ", ".join(f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in docs.schema)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"{fields}, n_bytes long, n_removed long, n_spans long")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(finish), f"{fields}, n_bytes long, n_removed long, n_spans long")
 
 
 def keep_deduped(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, lowered, mix, slices, span_hashes, words_of
+from .shared import buffer_of, lowered, mix, slices, span_hashes, tidy, words_of
 
 K, WIDTH, THRESHOLD, ITEM_BYTES = 64, 5, 0.8, 8 << 20
 _SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -147,7 +147,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        own = texts.mapInArrow(run, fields)
+        own = texts.mapInArrow(tidy(run), fields)
         out = own if out is None else out.unionByName(own)
     return out if out is not None else spark.createDataFrame([], fields)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_hinge, fit_scale, logistic
-from .shared import buffer_of, mix, slices
+from .shared import buffer_of, mix, slices, tidy
 
 PER_LANGUAGE = 1000
 DIM, ORDERS = 1 << 16, (1, 2, 3, 4)
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 rows = _shares(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("lang"), pa.array([a.tolist() for a, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32()))], ["lang", "at", "share"])
 
-    table = drawn.select("lang", "text").mapInArrow(run, "lang string, at array<int>, share array<float>").toArrow()
+    table = drawn.select("lang", "text").mapInArrow(tidy(run), "lang string, at array<int>, share array<float>").toArrow()
     if not table.num_rows:
         return None
     at, share = table.column("at").combine_chunks(), table.column("share").combine_chunks()
@@ -192,7 +192,7 @@ def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("l
                 found = [x if ok else "und" for x, ok in zip(found, good, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(np.where(good, score, 0.0))], [*piece.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    return docs.mapInArrow(tidy(run), f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(of: int = 4, kept_out: int = 2):

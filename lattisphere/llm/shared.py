@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import inspect
 import tempfile
 import uuid
 
@@ -122,7 +124,46 @@ def packed(df: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([to_ipc(piece)], pa.binary())], ["block", "payload"])
                     n += 1
 
-    return df.mapInArrow(run, BLOCKS)
+    return df.mapInArrow(tidy(run), BLOCKS)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(function):
+    """A function for mapInArrow or applyInArrow that gives memory back after each call (a generator: after its last batch).
+
+    Spark keeps workers for later stages; without this each keeps the most that any stage took."""
+    if inspect.isgeneratorfunction(function):
+
+        def run(batches):
+            yield from function(batches)
+            give_back()
+
+    elif len(inspect.signature(function).parameters) == 1:
+
+        def run(part):
+            try:
+                return function(part)
+            finally:
+                give_back()
+
+    else:
+
+        def run(one, other):
+            try:
+                return function(one, other)
+            finally:
+                give_back()
+
+    return run
 
 
 def mix(x: np.ndarray) -> np.ndarray:

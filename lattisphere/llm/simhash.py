@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bytes_array, slices, staged
+from .shared import bytes_array, slices, staged, tidy
 
 #: Distinct fingerprints that a shard should hold; the tree has at least LEAST_DEPTH levels. SAMPLE rows for each leaf reach the driver.
 SHARD_ROWS, LEAST_DEPTH, MOST_DEPTH, SAMPLE = 1 << 17, 4, 12, 64
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 hashes = np.fromiter(itertools.chain.from_iterable(each), np.uint64, int(counts.sum()))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(majority_bits(hashes, counts).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _distance(a, b):
@@ -179,8 +179,8 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
         linked = np.flatnonzero(forest.label != np.arange(len(x)))
         return pa.table({"a": x[linked].view(np.int64), "b": x[forest.label[linked]].view(np.int64)})
 
-    dealt = fps.mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = fps.mapInArrow(tidy(deal), "shard int, fp long, home boolean")
+    return dealt.groupBy("shard").applyInArrow(tidy(search), "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
