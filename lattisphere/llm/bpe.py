@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import buffer_of, parts_for, slices, span_hashes, staged, text_bytes, tidy
-from .wordbpe import coder, joined
+from .wordbpe import coder
 
 #: Text that shares one table of words, and text for each bucket of words.
 BLOCK_TEXT, BUCKET_TEXT = 12 << 20, 8 << 20
+#: Words that are joined to their ids and pieces at once, whole texts at a time.
+WORDS_AT_ONCE = 1 << 17
 
 
 def _planes(ranks: np.ndarray) -> bytes:
@@ -128,18 +130,25 @@ def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, extr
         words = _table_of(right.column("coded").to_pylist())
         pieces = _pieces(tool)
         shown = [b" ".join([pieces[i] for i in w.tolist()]) for w in words]  # the id-to-piece join
-        plain = [w.tobytes() for w in words]
+        shown = pa.array([x + b" " if x else x for x in shown], pa.large_binary())
+        plain = pa.array([w.tobytes() for w in words], pa.large_binary())
+        del words
         out, all_ids, all_text = [], [], []
         for doc_ids, counts, packed in zip(left.column("ids").to_pylist(), left.column("counts").to_pylist(), left.column("packed").to_pylist(), strict=True):
             ranks, edges = _ranks(packed), np.cumsum([0, *counts])
-            ids, at = joined(plain, ranks)
-            text, at_text = joined([s + b" " if s else s for s in shown], ranks)
-            for k, doc_id in enumerate(doc_ids):
-                a, b = edges[k], edges[k + 1]
-                own, own_text = ids[at[a] : at[b]], text[at_text[a] : at_text[b]][:-1]
-                out.append((doc_id, len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(own_text).hexdigest()))
-                all_ids.append(own)
-                all_text.append(own_text)
+            for first, last in _runs(edges, WORDS_AT_ONCE):
+                base = edges[first]
+                asked = pa.array(ranks[base : edges[last]])
+                ids, at = buffer_of(plain.take(asked))
+                text, at_text = buffer_of(shown.take(asked))
+                for k in range(first, last):
+                    a, b = edges[k] - base, edges[k + 1] - base
+                    own, own_text = ids[at[a] : at[b]], text[at_text[a] : at_text[b]][:-1]
+                    out.append((doc_ids[k], len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(own_text).hexdigest()))
+                    if "ids" in extra:
+                        all_ids.append(own)
+                    if "decoded" in extra:
+                        all_text.append(own_text)
         schema = _arrow(extra)
         columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
         if "ids" in extra:
@@ -152,6 +161,15 @@ def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, extr
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(tidy(join), fields)
 
 
+def _runs(edges: np.ndarray, most: int):
+    """First and last (not included) texts of runs of at most so many words, or one text; edges: where each text's words begin."""
+    first, n = 0, len(edges) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + most, "right")) - 1)
+        yield first, last
+        first = last
+
+
 def _pieces(tool) -> list[bytes]:
     if not hasattr(tool, "pieces"):
         vocabulary = tool.tokenizer.get_vocab(with_added_tokens=True)
