@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattisphere.llm import bpe, chunkdedup, decontamination, language, quality, sharding, simhash, suffixdedup, tokenstore, topk
+from lattisphere.llm import bpe, chunkdedup, decontamination, language, neardup, quality, sharding, simhash, suffixdedup, tokenstore, topk
 from lattisphere.llm.components import components
 from lattisphere.llm.queries import vocabulary
 
@@ -323,3 +323,44 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:2]:
         step = stage(spark, step, sf)
         assert step.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def planted_copies():
+    """Texts of several lengths, each with copies whose words were changed until they fall on both sides of a similarity of 0.8."""
+    rng, rows = random.Random(11), []
+    for n in (7, 12, 40, 200, 900) * 3:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows.append((len(rows), " ".join(base)))
+        for share in (0.003, 0.01, 0.015, 0.02, 0.025, 0.04):
+            changed = list(base)
+            for _ in range(max(1, round(share * n))):
+                changed[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(changed + (["tail"] if rng.random() < 0.3 else []))))
+    rows += [(len(rows), rows[0][1].upper()), (None, rows[7][1]), (len(rows) + 2, "one two"), (len(rows) + 3, "One  two"), (len(rows) + 4, "one two three")]
+    return [(i, t, "en", "s", len(t)) for i, t in rows]
+
+
+def near_brute(rows, threshold=0.8):
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t, *_ in rows]
+    near = [[j for j, y in enumerate(sets) if x == y or (x | y and len(x & y) / len(x | y) >= threshold)] for x in sets]
+    label = list(range(len(rows)))
+    while label != (label := [min(label[j] for j in own) for own in near]):
+        pass
+    least = {c: min((rows[j][0] for j in range(len(rows)) if label[j] == c and rows[j][0] is not None), default=None) for c in label}
+    return sorted(key((rows[i][0], least[label[i]])) for i in range(len(rows)))
+
+
+def test_near_duplicates_of_the_pipeline(spark, docs, empty, rows):
+    import corpus_pipeline
+
+    planted = planted_copies()
+    for table, own in ((spark.createDataFrame(planted, SCHEMA).repartition(3), planted), (docs, rows)):
+        assert sorted(key((r.doc_id, r.component_id)) for r in neardup.near_groups(table).collect()) == near_brute(own)
+    gone = {i[1] for i, c in near_brute(planted) if i[0] and c != i}
+    kept = corpus_pipeline.near_deduped(spark, spark.createDataFrame(planted, SCHEMA), "")
+    assert gone and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [i for i, *_ in planted if i is not None and i not in gone]
+    assert neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(empty).count() == 0
