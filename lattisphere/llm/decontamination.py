@@ -5,7 +5,9 @@ search is partitioned by size: for each size class of items (up to u shingles) d
 and an item is compared with pairs of neighbouring blocks. K MinHash values of both are banded with one row each; an item that
 shares any value with a block pair of its class is a candidate, and a candidate is kept if its share of distinct shingles
 found in the whole document, compared as words, reaches the threshold. With a block pair that holds an item's 0.8 of u / 2
-shingles or more the similarity is above 0.15, and K = 64 values miss it with a probability under 1 in 30,000.
+shingles or more the similarity is above 0.15, and K = 64 values miss it with a probability under 1 in 30,000. The least class
+is u = 8 and holds items of 5 to 8 shingles; items of up to EXACT = 4 are looked up by the hashes of their shingles, as many of
+them as a document that reaches the threshold cannot all lack, so none of these is missed.
 
 Words are runs without ASCII white space after A-Z became a-z; shingles have `width` words (5). An item with fewer words is one
 shingle, its whole word sequence, looked for as such. Null and empty items match nothing; null and empty documents hold
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import buffer_of, lowered, mix, slices, span_hashes, tidy, words_of
 
-K, WIDTH, THRESHOLD, ITEM_BYTES = 64, 5, 0.8, 8 << 20
+K, WIDTH, THRESHOLD, ITEM_BYTES, EXACT = 64, 5, 0.8, 8 << 20, 4
 _SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -49,7 +51,7 @@ def _combined(hashes: np.ndarray, width: int) -> np.ndarray:
 class Items:
     """The items of one pass: their shingles and, by size class, the K tables of MinHash values."""
 
-    def __init__(self, rows: list[tuple], width: int):
+    def __init__(self, rows: list[tuple], width: int, threshold: float = THRESHOLD):
         self.ids, words = [i for i, _ in rows], [_words(t) for _, t in rows]
         self.width, self.sets = width, [shingles(w, width) for w in words]
         self.short: dict[int, dict[int, list[int]]] = {}
@@ -64,9 +66,14 @@ class Items:
             if len(w) < width:
                 self.short.setdefault(len(w), {}).setdefault(int(_combined(hashes, len(w))[0]), []).append(k)
             else:
-                grams = _combined(hashes, width)
+                grams, n = _combined(hashes, width), len(self.sets[k])
+                if n <= EXACT:
+                    least = next((m for m in range(1, n) if m >= threshold * n), n)
+                    for g in np.unique(grams)[: n - least + 1].tolist():
+                        self.short.setdefault(width, {}).setdefault(g, []).append(k)
+                    continue
                 size = 8
-                while size < len(self.sets[k]):
+                while size < n:
                     size *= 2
                 groups.setdefault(size, []).append((k, np.array([mix(grams * s).min() for s in _SEEDS])))
         for size, own in groups.items():
@@ -86,7 +93,7 @@ def _matches(table, keys: np.ndarray, where: np.ndarray):
 
 
 def candidates(items: Items, texts: pa.Array) -> set[tuple[int, int]]:
-    """(row, item) pairs that share a MinHash value in some block pair, or a short item's whole sequence."""
+    """(row, item) pairs that share a MinHash value in some block pair, a short item's whole sequence, or a shingle of an item of few."""
     data, offsets = buffer_of(texts)
     data = lowered(data)
     starts, ends, edges = words_of(data, offsets)
@@ -102,7 +109,7 @@ def candidates(items: Items, texts: pa.Array) -> set[tuple[int, int]]:
             known = items.short[width]
             for k in np.flatnonzero(np.isin(grams, np.array(list(known), np.uint64))):
                 out.update((int(row[k]), item) for item in known[int(grams[k])])
-        if width != items.width or not len(row):
+        if width != items.width or not len(row) or not items.classes:
             continue
         blocks = {size: np.flatnonzero(inside % size == 0) for size in items.classes}
         for j, seed in enumerate(_SEEDS):
@@ -126,7 +133,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
     out, texts = None, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fields = "doc_id long, item_id long, n_shared long, n_item long, containment double"
     for one in passes:
-        held = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in small.where(F.col("pass") == one).orderBy("item_id", "text").select("item_id", "text").collect()], width))  # ITEM_BYTES of text and one item at most
+        held = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in small.where(F.col("pass") == one).orderBy("item_id", "text").select("item_id", "text").collect()], width, threshold))  # ITEM_BYTES of text and one item at most
 
         def run(batches, held=held):
             known = held.value

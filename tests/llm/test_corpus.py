@@ -364,3 +364,18 @@ def test_near_duplicates_of_the_pipeline(spark, docs, empty, rows):
     kept = corpus_pipeline.near_deduped(spark, spark.createDataFrame(planted, SCHEMA), "")
     assert gone and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [i for i, *_ in planted if i is not None and i not in gone]
     assert neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(empty).count() == 0
+
+
+def test_items_of_few_shingles_are_never_missed():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    items = [(k, " ".join(words(5 + k % 4))) for k in range(1600)]
+    texts = [" ".join([*words(rng.choice((0, 3, 30))), items[k][1].upper(), *words(40)]) for k in range(1600)]
+    for threshold in (0.5, 0.8):
+        found = decontamination.candidates(decontamination.Items(items, 5, threshold), pa.array(texts))
+        assert found >= {(k, k) for k in range(1600)}
+    partly = [" ".join([*text.split()[:6], "other", *text.split()[7:]]) for _, text in items[3::4]]  # two of four shingles
+    found = decontamination.candidates(decontamination.Items(items[3::4], 5, 0.5), pa.array(partly))
+    assert found >= {(k, k) for k in range(400)}
