@@ -1,13 +1,17 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash that rolls over 16 bytes cuts every text where its bits say so, never inside a character, so an insertion moves
-only the cuts beside it. A chunk is known by a 128-bit digest; an occurrence goes if the same chunk also stands in a
-document with a smaller doc_id, and stands in a run of such chunks of at least `least` bytes, which keeps chance repeats of
-a few words where they are. So of a repeated passage the first document keeps it whole.
+A gear hash that rolls over 16 bytes cuts every text at the least hash of each window of WINDOW places (winnowing; Schleimer et
+al., 2003), never inside a character. So cuts depend on the bytes beside them alone, none is forced by position, and a passage of
+2 WINDOW + 15 bytes (143) or more holds a whole chunk wherever it stands; only stretches of periods up to 8 bytes are not cut. A chunk is known by a 128-bit digest; an occurrence is a repeat if the same chunk also stands in a
+document with a smaller doc_id. A run of repeats grows outward, byte by byte, as far as the text around its end chunks is the
+text around the same chunk in the document with the least doc_id, and goes if it then has at least `least` bytes, which keeps
+chance repeats of a few words where they are. So of a repeated passage the first document keeps it whole.
 
 Documents travel in compressed blocks. A block names each of its chunks once, with the least doc_id that it has there; the
 chunks of all blocks meet in buckets by digest, and only what a block does not know itself, a smaller doc_id elsewhere,
-goes back to it. A chunk in every document weighs one entry for each block.
+goes back to it, with the block that holds it. A chunk in every document weighs one entry for each block. For the end chunks
+of its runs a block then asks those blocks once per chunk for the bytes beside it: up to CONTEXT bytes on each side, at the
+first MOST_PLACES places of the chunk in the document with the least doc_id.
 
 Null texts stay null and have no bytes; an empty text has no chunks; repeats inside one document, or between rows of the
 same doc_id, stay; a null doc_id counts as larger than all others. All columns are kept.
@@ -17,13 +21,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, removed_runs, staged, text_bytes, tidy, unpack_planes, with_text, without
+from .shared import buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, ragged, removed_runs, staged, text_bytes, tidy, to_ipc, unpack_planes, with_text, without
 
-LEAST_CHUNK, MEAN_CHUNK, MOST_CHUNK, LEAST_RUN, BUCKET_TEXT = 16, 32, 256, 100, 8 << 20
+WINDOW, LEAST_RUN, BUCKET_TEXT = 64, 100, 8 << 20  # WINDOW: a power of two
+CONTEXT, MOST_PLACES = 256, 4
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -32,22 +38,28 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     h = _GEAR[data]
     for step in (1, 2, 4, 8):
         h[step:] += h[:-step] << np.uint32(step)
-    good = (h >> np.uint32(10)) % np.uint32(MEAN_CHUNK) == 0
-    good[:-1] &= (data[1:] & 0xC0) != 0x80
-    cuts, out, k = (np.flatnonzero(good) + 1).tolist(), [], 0
-    cuts.append(len(data) + 1)
-    for last, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        while last < end:
-            while cuts[k] < last + LEAST_CHUNK and cuts[k] < end:
-                k += 1
-            c = min(cuts[k], end)
-            if c - last > MOST_CHUNK:
-                c = last + MOST_CHUNK
-                while c < end and data[c] & 0xC0 == 0x80:
-                    c += 1
-            out.append(c)
-            last = c
-    return np.array(out, np.int64)
+    bad = np.zeros(len(data), bool)
+    bad[:-1] = (data[1:] & 0xC0) == 0x80
+    for period in range(1, 9):  # equal hashes side by side would cut at each of them
+        bad[period:] |= h[period:] == h[:-period]
+    n, sizes = len(data), np.diff(offsets)
+    bad[ragged(offsets[:-1], np.minimum(sizes, 15))] = True  # these hashes reach into the text before
+    h[bad] = np.uint32(0xFFFFFFFF)
+    best = (h.astype(np.uint64) << np.uint64(32)) | (np.uint64(n) - np.arange(n, dtype=np.uint64))  # of equal ones the last
+    step = 1
+    while step < WINDOW:
+        best[:-step] = np.minimum(best[:-step], best[step:])
+        step *= 2
+    apart = np.zeros(n, bool)  # starts of windows that are not inside one text
+    apart[ragged(np.maximum(offsets[:-1], offsets[1:] - WINDOW + 1), np.minimum(sizes, WINDOW - 1))] = True
+    other = ~apart
+    other[1:] &= (best[1:] != best[:-1]) | apart[:-1]
+    cut = np.zeros(n + 1, bool)
+    cut[n - (best[other] & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1] = True
+    cut[1:] &= ~bad
+    cut[offsets[1:][sizes > 0]] = True
+    cut[0] = False
+    return np.flatnonzero(cut)
 
 
 class Chunks:
@@ -90,37 +102,106 @@ def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _answers(asked: DataFrame) -> DataFrame:
-    """For each block and bucket the places, among the digests it asked for, that have a smaller doc_id elsewhere, and those ids."""
+    """For each block and bucket the places, among the digests it asked for, that have a smaller doc_id elsewhere, those ids and the blocks that hold them."""
 
     def run(part: pa.Table) -> pa.Table:
         blobs = part.column("digests").to_pylist()
         d = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
         least = np.concatenate([unpack_planes(x, np.int64) for x in part.column("least").to_pylist()])
-        order = np.lexsort((d[:, 1], d[:, 0]))
+        edges, out = np.cumsum([0, *(len(b) // 16 for b in blobs)]), []
+        holder = np.repeat(part.column("block").to_numpy(), np.diff(edges))
+        order = np.lexsort((holder, least, d[:, 1], d[:, 0]))
         new = np.ones(len(d), bool)
         new[1:] = (d[order][1:] != d[order][:-1]).any(axis=1)
-        whole = np.empty(len(d), np.int64)
-        whole[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        edges, out = np.cumsum([0, *(len(b) // 16 for b in blobs)]), []
+        first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        whole, source = np.empty(len(d), np.int64), np.empty(len(d), np.int64)
+        whole[order], source[order] = least[first], holder[first]
         for k, block in enumerate(part.column("block").to_pylist()):
             own = slice(edges[k], edges[k + 1])
             places = np.flatnonzero(whole[own] < least[own])
             if len(places):
-                out.append((block, int(part.column("bucket")[k].as_py()), pack_planes(places.astype(np.uint32)), pack_planes(whole[own][places])))
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["block", "bucket", "places", "least"])
+                out.append((block, int(part.column("bucket")[k].as_py()), pack_planes(places.astype(np.uint32)), pack_planes(whole[own][places]), pack_planes(source[own][places])))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["block", "bucket", "places", "least", "source"])
+
+    return asked.groupBy("bucket").applyInArrow(tidy(run), "block long, bucket int, places binary, least binary, source binary")
+
+
+class Repeats:
+    """The repeated chunks of a block, by what the buckets told it, and the ends of their runs."""
+
+    def __init__(self, block: int, rows: pa.RecordBatch, told: pa.Table, buckets: int):
+        ids = doc_ids(rows.column("doc_id"))
+        self.chunks = Chunks(rows.column("text"))
+        _, least, home, self.place = self.chunks.distinct(ids, buckets)
+        least, edges = least.copy(), np.searchsorted(home, np.arange(buckets + 1))
+        source = np.full(len(least), block)
+        for bucket, places, values, blocks in zip(*(told.column(c).to_pylist() for c in ("bucket", "places", "least", "source")), strict=True):
+            at = edges[bucket] + unpack_planes(places, np.uint32).astype(np.int64)
+            least[at], source[at] = unpack_planes(values, np.int64), unpack_planes(blocks, np.int64)
+        self.least, self.source = least[self.place], source[self.place]
+        rows_of = self.chunks.rows
+        self.dup = ids[rows_of] > self.least
+        joined = np.zeros(len(self.dup) + 1, bool)  # with the chunk before
+        joined[1:-1] = self.dup[1:] & self.dup[:-1] & (rows_of[1:] == rows_of[:-1])
+        self.first, self.last = np.flatnonzero(self.dup & ~joined[:-1]), np.flatnonzero(self.dup & ~joined[1:])
+
+    def ends(self) -> np.ndarray:
+        """The chunks to ask for: the outer two at each end of each run."""
+        inner = self.first < self.last
+        return np.unique(np.concatenate([self.first, self.last, self.first[inner] + 1, self.last[inner] - 1]))
+
+    def gone(self, contexts: dict, least_run: int) -> np.ndarray:
+        """The bytes to remove; contexts: (left, right) bytes around each place of a digest."""
+        data, offsets, starts, ends = self.chunks.data, self.chunks.offsets, self.chunks.starts, self.chunks.ends
+        whole, rows, digests, out = data.tobytes(), self.chunks.rows, self.chunks.digests, np.zeros(len(data), bool)
+        for a, b in zip(self.first.tolist(), self.last.tolist(), strict=True):
+            low, high, row = int(starts[a]), int(ends[b]), int(rows[a])
+            begin, end = int(offsets[row]), int(offsets[row + 1])
+            for k in range(a, min(a + 2, b + 1)):
+                for left, _ in contexts.get(digests[k].tobytes(), ()):
+                    at = int(starts[k])
+                    low = min(low, at - common_end(whole[max(begin, at - CONTEXT) : at], left))
+            for k in range(max(a, b - 1), b + 1):
+                for _, right in contexts.get(digests[k].tobytes(), ()):
+                    at = int(ends[k])
+                    high = max(high, at + common_start(whole[at : min(end, at + CONTEXT)], right))
+            while low < starts[a] and data[low] & 0xC0 == 0x80:  # whole characters only
+                low += 1
+            while high > ends[b] and high < end and data[high] & 0xC0 == 0x80:
+                high -= 1
+            if high - low >= least_run:
+                out[low:high] = True
+        return out
+
 
-    return asked.groupBy("bucket").applyInArrow(tidy(run), "block long, bucket int, places binary, least binary")
+def common_start(x: bytes, y: bytes) -> int:
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    low, high = 0, n  # x[:low] is common, x[:high] is not
+    while high - low > 1:
+        k = (low + high) // 2
+        low, high = (k, high) if x[low:k] == y[low:k] else (low, k)
+    return low
 
 
-def long_runs(dup: np.ndarray, rows: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
-    """Of the marked chunks those in a run, inside one row, of at least so many bytes."""
-    if not len(dup):
-        return dup
-    change = np.ones(len(dup), bool)
-    change[1:] = (dup[1:] != dup[:-1]) | (rows[1:] != rows[:-1])
-    first = np.flatnonzero(change)
-    return dup & (np.add.reduceat(sizes, first)[np.cumsum(change) - 1] >= least)
+def common_end(x: bytes, y: bytes) -> int:
+    return common_start(x[::-1], y[::-1])
+
+
+def _pack_contexts(digests: list[bytes], sides: list[tuple[bytes, bytes]]) -> bytes:
+    found = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([x for x, _ in sides], pa.binary()), pa.array([y for _, y in sides], pa.binary())], ["digest", "left", "right"])
+    return to_ipc(found)
+
+
+def _contexts(told: pa.Table) -> dict:
+    out: dict = {}
+    for payload in told.column("contexts").to_pylist():
+        found = from_ipc(payload)
+        for digest, left, right in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            out.setdefault(digest, []).append((left, right))
+    return out
 
 
 def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
@@ -128,25 +209,60 @@ def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     docs = docs.drop("n_bytes", "n_removed", "n_spans")
     buckets = parts_for(text_bytes(docs), BUCKET_TEXT, 32)
     blocks, _ = staged(packed(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "blocks")
-    answers = _answers(_asked(blocks, buckets))
+    answers, _ = staged(_answers(_asked(blocks, buckets)), "answers")
+    told_by_block = answers.groupBy("block")
+
+    def ask(held: pa.Table, told: pa.Table) -> pa.Table:
+        block = held.column("block")[0].as_py()
+        found = Repeats(block, from_ipc(held.column("payload")[0].as_py()), told, buckets)
+        ends = found.ends()
+        source, least, digests = found.source[ends], found.least[ends], found.chunks.digests[ends]
+        order = np.lexsort((digests[:, 1], digests[:, 0], source))
+        same = np.zeros(len(order), bool)
+        same[1:] = (source[order][1:] == source[order][:-1]) & (digests[order][1:] == digests[order][:-1]).all(axis=1)
+        order = order[~same]
+        blocks_asked, first = np.unique(source[order], return_index=True)
+        edges = [*first.tolist(), len(order)]
+        parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table([pa.array(blocks_asked), pa.array([block] * len(parts), pa.int64()), pa.array([digests[o].tobytes() for o in parts], pa.binary()), pa.array([pack_planes(least[o]) for o in parts], pa.binary())], names=["holder", "block", "digests", "least"])
+
+    asking = blocks.groupBy("block").cogroup(told_by_block).applyInArrow(tidy(ask), "holder long, block long, digests binary, least binary")
+
+    def reply(held: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if held.num_rows and asked.num_rows:
+            rows = from_ipc(held.column("payload")[0].as_py())
+            ids, chunks = doc_ids(rows.column("doc_id")), Chunks(rows.column("text"))
+            whole, places = chunks.data.tobytes(), {}
+            wanted = set()
+            asks = [(b, [d[k : k + 16] for k in range(0, len(d), 16)], unpack_planes(x, np.int64).tolist()) for b, d, x in zip(*(asked.column(c).to_pylist() for c in ("block", "digests", "least")), strict=True)]
+            for _, d, least in asks:
+                wanted.update(zip(d, least, strict=True))
+            flat = chunks.digests.tobytes()
+            for k, i in enumerate(ids[chunks.rows].tolist()):
+                name = (flat[16 * k : 16 * k + 16], i)
+                if name in wanted and len(own := places.setdefault(name, [])) < MOST_PLACES:
+                    begin, end, a, b = int(chunks.offsets[chunks.rows[k]]), int(chunks.offsets[chunks.rows[k] + 1]), int(chunks.starts[k]), int(chunks.ends[k])
+                    own.append((whole[max(begin, a - CONTEXT) : a], whole[b : min(end, b + CONTEXT)]))
+            for b, d, least in asks:
+                sides = [(name[0], x) for name in zip(d, least, strict=True) for x in places.get(name, ())]
+                out.append((b, _pack_contexts([x for x, _ in sides], [x for _, x in sides])))
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["block", "contexts"])
+
+    replies = blocks.groupBy("block").cogroup(asking.groupBy("holder")).applyInArrow(tidy(reply), "block long, contexts binary")
+    told_all = answers.withColumn("contexts", F.lit(None).cast("binary")).unionByName(replies, allowMissingColumns=True)
 
     def finish(held: pa.Table, told: pa.Table) -> pa.Table:
         rows = from_ipc(held.column("payload")[0].as_py())
-        ids = doc_ids(rows.column("doc_id"))
-        chunks = Chunks(rows.column("text"))
-        d, least, home, place = chunks.distinct(ids, buckets)
-        least, edges = least.copy(), np.searchsorted(home, np.arange(buckets + 1))
-        for bucket, places, values in zip(told.column("bucket").to_pylist(), told.column("places").to_pylist(), told.column("least").to_pylist(), strict=True):
-            least[edges[bucket] + unpack_planes(places, np.uint32).astype(np.int64)] = unpack_planes(values, np.int64)
-        dup = ids[chunks.rows] > least[place]
-        sizes = chunks.ends - chunks.starts
-        gone = np.repeat(long_runs(dup, chunks.rows, sizes, least_run), sizes)
+        is_answer = told.column("contexts").is_null()
+        found = Repeats(held.column("block")[0].as_py(), rows, told.filter(is_answer), buckets)
+        chunks, gone = found.chunks, found.gone(_contexts(told.filter(pc.invert(is_answer))), least_run)
         n_removed, n_spans = removed_runs(gone, chunks.offsets)
         columns = with_text(rows, without(chunks.data, chunks.offsets, gone))
         return pa.table([*columns, pa.array(np.diff(chunks.offsets)), pa.array(n_removed), pa.array(n_spans)], names=[*rows.schema.names, "n_bytes", "n_removed", "n_spans"])
 
     fields = ", ".join(f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in docs.schema)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(finish), f"{fields}, n_bytes long, n_removed long, n_spans long")
+    return blocks.groupBy("block").cogroup(told_all.groupBy("block")).applyInArrow(tidy(finish), f"{fields}, n_bytes long, n_removed long, n_spans long")
 
 
 def keep_deduped(docs: DataFrame) -> DataFrame:

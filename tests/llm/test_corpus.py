@@ -379,3 +379,24 @@ def test_items_of_few_shingles_are_never_missed():
     partly = [" ".join([*text.split()[:6], "other", *text.split()[7:]]) for _, text in items[3::4]]  # two of four shingles
     found = decontamination.candidates(decontamination.Items(items[3::4], 5, 0.5), pa.array(partly))
     assert found >= {(k, k) for k in range(400)}
+
+
+def planted_passages(n=300):
+    """Passages of 51 words at many offsets in two documents each; rows and the passages, the second copy in document n + k."""
+    rng = random.Random(9)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(k))
+    passages = [words(51) for _ in range(n)]
+    rows = [(k + side * n, f"{words(rng.randrange(20, 90))} \u00e9{side} {p} {side}\u00e8 {words(rng.randrange(20, 90))}") for side in (0, 1) for k, p in enumerate(passages)]
+    return [(i, t, "en", "s", len(t)) for i, t in rows], passages
+
+
+def test_chunk_dedup_removes_whole_passages(spark):
+    n = 300
+    rows, passages = planted_passages(n)
+    got = {r.doc_id: r for r in chunkdedup.dedup(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    for k, (i, text, *_) in enumerate(rows):
+        if k < n:
+            assert got[i].text == text and got[i].n_removed == 0
+        else:
+            a, b = text.split(f" {passages[k - n]} ")
+            assert got[i].text == a + b and got[i].n_spans == 1
