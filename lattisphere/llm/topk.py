@@ -1,9 +1,10 @@
 """Exact top-k inner products by vector-approximation files.
 
-Components become floor(64 * x). Vectors are stored in blocks beside their approximation: every component as the number of
-one of CELLS cells of its dimension. For a block of questions the cells' bounds give an upper and a lower bound of each inner
+Components become floor(64 * x). Vectors are stored in blocks with their ids only; where a block of candidates meets one of
+questions, its approximation is computed from the exact vectors: every component as the number of one of CELLS cells of its
+dimension. So it saves exact products, not reads. For a block of questions the cells' bounds give an upper and a lower bound of each inner
 product; the kth lower bound of a question rules out every candidate whose upper bound is below it, and the exact vectors of
-the rest are read in falling order of upper bound until the kth score found is above all bounds to come. Question blocks
+the rest are compared in falling order of upper bound until the kth score found is above all bounds to come. Question blocks
 meet candidate blocks by an equi-join on block numbers, each pair leaves k rows for a question, and the best k of those follow.
 
 Questions are the rows whose vec_id is divisible by `every`, candidates all rows but the question's own (all rows of that
