@@ -1,10 +1,13 @@
 """A content-addressed store of token ids.
 
-Documents are encoded, dealt to parts by ascending doc_id, and each id stream is cut into chunks by a rolling hash of the
-ids. A chunk is known by its digest: the first part that holds it stores its ids, once; every other occurrence is a digest
-in some document's recipe, with the part that owns it. Each part is one row of the store: recipes, own chunks, references
-to other parts' chunks, and a Merkle root over its documents' leaves; the manifest holds the parts' roots and the ids before
-each part. Reading back joins the parts with the chunks they refer to, checks every digest and root, and gives the ids.
+Documents are encoded, one row each, and dealt to parts by (doc_id, CRC of the text, salt); the bounds come from a size-weighted
+sample, so parts hold about equal bytes of text and one doc_id may fill many. Each part cuts its id streams into chunks by a
+rolling hash of the ids. A chunk is known by its digest. A chunk of one part is stored there, once; a chunk that several
+parts hold is stored once, as a row of its own under its digest; every occurrence is a digest in some document's recipe.
+Each part is one row of the store: recipes, own chunks, the digests of shared ones, and a Merkle root over its documents'
+leaves. The manifest holds the parts' roots, sizes and the ids before each part, and the corpus root stands over all of it.
+Reading back joins the parts with the shared chunks they name, checks every digest and root, and gives the ids: a part or
+chunk that is gone or was changed raises ValueError.
 
 Null and empty texts hold the end id alone. Rows with a null doc_id come first, equal doc_ids are ordered by the text's
 CRC, and each row is a document of its own. An empty table gives an empty store. Other columns are ignored.
@@ -12,6 +15,7 @@ CRC, and each row is a document of its own. An empty table gives an empty store.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _planes, _ranks
-from .shared import bytes_array, mix, new_path, parts_for, slices, text_bytes
+from .shared import buffer_of, bytes_array, mix, new_path, ragged, slices, tidy
 from .wordbpe import coder, joined
 
-#: Text of one part and of one bucket of digests; the end id; least, mean and most ids of a chunk.
-PART_TEXT, BUCKET_TEXT, END = 8 << 20, 32 << 20, 2
+#: Text of one part, and sampled rows for each; parts that are summed at once in the manifest; the end id; least, mean and most ids of a chunk.
+PART_TEXT, SAMPLE, GROUP, END = 8 << 20, 32, 1024, 2
 LEAST, MEAN, MOST = 16, 128, 1024
 NO_ID = -(1 << 63)
 
@@ -68,41 +72,83 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else digest(b"")
 
 
-def _encoded(docs: DataFrame, path: str, bounds: np.ndarray) -> DataFrame:
-    """Rows of (part, documents of one block that belong to it with their packed ids)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (null: NO_ID), text and a salt that parts rows of one doc_id."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), "text")
+
+
+def _cuts(docs: DataFrame, part_text: int) -> list[tuple[int, int, int]]:
+    """The first keys (doc_id, CRC, salt) of all parts but the first: a size-weighted sample is sorted by range and cut where
+    it stands for the text of one part. 24 bytes for each part reach the driver and the executors."""
+    share = part_text // SAMPLE
+    text = F.coalesce("text", F.lit(""))
+    rows = _keyed(docs).select("doc_id", F.crc32(text).alias("crc"), "salt", F.octet_length(text).alias("size"))
+    coin = F.pmod(F.xxhash64("salt", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.where(coin < (F.col("size") + 64) / float(share)).withColumn("stands", F.greatest(F.col("size") + 64, F.lit(share)))
+    order = ["doc_id", "crc", "salt"]
+
+    def run(batches):
+        held = 0
+        for batch in batches:
+            stands = batch.column("stands").to_pylist()
+            keep = np.zeros(len(stands), bool)
+            for k, n in enumerate(stands):
+                held += n
+                if held >= part_text:
+                    keep[k], held = True, 0
+            yield batch.select(order).filter(pa.array(keep))
+
+    cuts = drawn.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "doc_id long, crc long, salt long")
+    return sorted(tuple(r) for r in cuts.collect())
+
+
+def parts_of(cuts: list[tuple[int, int, int]], ids: np.ndarray, crcs: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The part of each row: how many cuts are not above its key."""
+    bounds = np.array([c[0] for c in cuts], np.int64)
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    for k in np.flatnonzero(low < high):  # a part begins inside this doc_id
+        low[k] = bisect.bisect_right(cuts, (int(ids[k]), int(crcs[k]), int(salts[k])), int(low[k]), int(high[k]))
+    return low
+
+
+def _encoded(docs: DataFrame, path: str, cuts: list) -> DataFrame:
+    """A row for each document: its part, key and ids."""
 
     def run(batches):
-        tool, end = coder(path), np.array([END], "<u4").tobytes()
+        tool, end = coder(path), np.array([END], _kind(path)).tobytes()
         for batch in batches:
             for piece in slices(batch):
                 texts = piece.column("text")
                 coded, counts = tool.split(texts)
-                values = [w.tobytes() for w in tool.cached(coded.dictionary.to_pylist())]
+                values = [w.astype(_kind(path)).tobytes() for w in tool.cached(coded.dictionary.to_pylist())]
                 data, at = joined(values, coded.indices.to_numpy())
-                edges = at[np.concatenate([[0], np.cumsum(counts)])]
-                ids = piece.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                crc = np.fromiter((zlib.crc32(x) for x in bytes_array(texts).to_pylist()), np.int64, len(ids))
-                parts = np.searchsorted(bounds, ids, "right")
-                for part in np.unique(parts):
-                    own = np.flatnonzero(parts == part)
-                    flat = b"".join(data[edges[k] : edges[k + 1]].tobytes() + end for k in own)
-                    sizes = (edges[own + 1] - edges[own]) // 4 + 1
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([ids[own].tolist()], pa.list_(pa.int64())), pa.array([crc[own].tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([_planes(np.frombuffer(flat, "<u4"))], pa.binary())], ["part", "ids", "crcs", "sizes", "packed"])
+                edges = at[np.concatenate([[0], np.cumsum(counts)])].tolist()
+                ids, salts = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "salt"))
+                crcs = np.fromiter((zlib.crc32(x) for x in bytes_array(texts).to_pylist()), np.int64, len(ids))
+                whole = memoryview(data.tobytes())
+                packed = [b"".join((whole[a:b], end)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts_of(cuts, ids, crcs, salts)), pa.array(ids), pa.array(crcs), pa.array(packed, pa.binary())], ["part", "doc_id", "crc", "ids"])
+
+    return _keyed(docs).mapInArrow(tidy(run), "part long, doc_id long, crc long, ids binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part long, ids array<long>, crcs array<long>, sizes array<long>, packed binary")
+def _kind(path: str) -> str:
+    """Ids take two bytes where the vocabulary allows."""
+    tool = coder(path)
+    return "<u2" if tool.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
 class Part:
     """The documents of a part in order, with their chunks."""
 
-    def __init__(self, rows: pa.Table):
-        col = {c: rows.column(c).to_pylist() for c in ("ids", "crcs", "sizes", "packed")}
-        ids, crcs, sizes = (np.array(sum(col[c], []), np.int64) for c in ("ids", "crcs", "sizes"))
-        flat = np.concatenate([_ranks(p) for p in col["packed"]])
-        ends = np.cumsum(sizes)
+    def __init__(self, rows: pa.Table, kind: str):
+        ids, crcs = rows.column("doc_id").to_numpy(), rows.column("crc").to_numpy()
+        data, offsets = buffer_of(rows.column("ids"))
+        sizes = np.diff(offsets)
         order = np.lexsort((sizes, crcs, ids))
-        self.ids, self.sizes = ids[order], sizes[order]
-        self.flat = np.concatenate([flat[ends[k] - sizes[k] : ends[k]] for k in order]).astype("<u4")
+        taken = data[ragged(offsets[:-1][order], sizes[order])]
+        self.ids, self.sizes = ids[order], sizes[order] // np.dtype(kind).itemsize
+        self.flat = taken.view(kind).astype("<u4")
         self.ends = chunk_ends(self.flat, np.cumsum(self.sizes))
         starts = np.concatenate([[0], self.ends[:-1]])
         data = memoryview(self.flat.tobytes())
@@ -111,76 +157,103 @@ class Part:
         self.per_doc = np.diff(np.searchsorted(self.ends, np.concatenate([[0], np.cumsum(self.sizes)]), "right"))
 
 
-def _digest_array(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "V16")
-
-
-def _owners(asked: DataFrame) -> DataFrame:
-    """For each part the digests of a bucket that an earlier part owns, with that part."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        parts, blobs = rows.column("part").to_numpy(), rows.column("digests").to_pylist()
-        d = np.frombuffer(b"".join(blobs), ">u8").reshape(-1, 2)
-        part = np.repeat(parts, [len(b) // 16 for b in blobs])
-        order = np.lexsort((part, d[:, 1], d[:, 0]))
-        d, part = d[order], part[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]).any(axis=1)
-        owner = part[np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else part
-        out = []
-        for p in np.unique(part[owner != part]):
-            own = (part == p) & (owner != part)
-            out.append((int(p), d[own].tobytes(), owner[own].tolist()))
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["part", "digests", "owners"])
+def _names(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as two columns of signed numbers."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
-    return asked.groupBy("bucket").applyInArrow(run, "part long, digests binary, owners array<long>")
 
+_PART = "part long, n_ids long, ids array<long>, sizes array<long>, chunks array<int>, recipe binary, own binary, own_sizes array<int>, bodies binary, foreign binary, root binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("chunks", pa.list_(pa.int32())), ("recipe", pa.binary()), ("own", pa.binary()), ("own_sizes", pa.list_(pa.int32())), ("bodies", pa.binary()), ("foreign", pa.binary()), ("root", pa.binary()), ("d1", pa.int64()), ("d2", pa.int64()), ("body", pa.binary())])
+_CHUNK = "d1 long, d2 long, body binary"
+_MANIFEST = "part long, n_ids long, n_docs long, root binary, start long"
 
-_STORE = "part long, n_ids long, ids array<long>, sizes array<long>, chunks array<int>, recipe binary, own binary, own_sizes array<int>, bodies binary, foreign binary, owners array<long>, root binary"
 
-
-def write_store(docs: DataFrame, path: str, out: str) -> None:
-    """Writes the store of all documents to out/parts and its manifest to out/manifest."""
+def write_store(docs: DataFrame, path: str, out: str, part_text: int = PART_TEXT) -> None:
+    """Writes the store of all documents: out/store (kind=0: parts, kind=1: chunks that several parts share), out/manifest, out/corpus."""
     spark = docs.sparkSession
-    total = text_bytes(docs)
-    n, buckets = parts_for(total, PART_TEXT), parts_for(total, BUCKET_TEXT, 8)
-    bounds = np.zeros(0, np.int64)
-    if n > 1:  # 8 bytes for each part
-        cut = F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)], 20 * n)
-        bounds = np.unique(np.array(docs.agg(cut).first()[0] or [], np.int64))
-    rows = _encoded(docs, path, bounds)
+    cuts = _cuts(docs, part_text)
+    rows = _encoded(docs, path, cuts)
+    kind = _kind(path)
 
     def ask(part: pa.Table) -> pa.Table:
-        held = Part(part)
-        d = np.unique(np.frombuffer(b"".join(held.digests), ">u8").reshape(-1, 2), axis=0)
-        home = (d[:, 0] % np.uint64(buckets)).astype(np.int64)
-        asked = [(int(b), int(part.column("part")[0].as_py()), d[home == b].tobytes()) for b in np.unique(home)]
-        return pa.table([pa.array([r[k] for r in asked], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "part", "digests"])
-
-    def store(part: pa.Table, answers: pa.Table) -> pa.Table:
-        held = Part(part)
-        foreign = b"".join(answers.column("digests").to_pylist())
-        owners = sum(answers.column("owners").to_pylist(), [])
-        known = {foreign[k : k + 16] for k in range(0, len(foreign), 16)}
-        own: dict[bytes, memoryview] = {}
+        d1, d2 = _names(list(dict.fromkeys(Part(part, kind).digests)))
+        return pa.table({"part": pa.repeat(part.column("part")[0], len(d1)), "d1": d1, "d2": d2})
+
+    def store(part: pa.Table, told: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return _SCHEMA.empty_table()
+        held, number = Part(part, kind), part.column("part")[0].as_py()
+        names = np.stack([told.column("d1").to_numpy(), told.column("d2").to_numpy()], axis=1).astype("<i8").tobytes()
+        owner = {names[16 * k : 16 * k + 16]: o for k, o in enumerate(told.column("owner").to_pylist())}
+        own, given = {}, {}
         for d, body in zip(held.digests, held.bodies, strict=True):
-            if d not in known:
+            if d not in owner:
                 own.setdefault(d, body)
+            elif owner[d] == number:
+                given.setdefault(d, body)
         edges = np.cumsum([0, *held.per_doc.tolist()])
         leaves = [digest(b"".join(held.digests[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        row = [part.column("part")[0].as_py(), int(held.sizes.sum()), held.ids.tolist(), held.sizes.tolist(), held.per_doc.tolist(), b"".join(held.digests), b"".join(own), [len(b) // 4 for b in own.values()], _planes(np.frombuffer(b"".join(own.values()), "<u4")), foreign, owners, merkle_root(leaves)]
-        return pa.table([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
+        row = [0, number, int(held.sizes.sum()), held.ids.tolist(), held.sizes.tolist(), held.per_doc.tolist(), b"".join(held.digests), b"".join(own), [len(b) // 4 for b in own.values()], _planes(np.frombuffer(b"".join(own.values()), "<u4")), names, merkle_root(leaves), None, None, None]
+        tables = [pa.table([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)]
+        if given:
+            d1, d2 = _names(list(given))
+            bodies = pa.array([_narrow(b) for b in given.values()], pa.binary())
+            filled = {"kind": pa.repeat(pa.scalar(1, pa.int32()), len(d1)), "d1": pa.array(d1), "d2": pa.array(d2), "body": bodies}
+            tables.append(pa.table([filled.get(f.name, pa.nulls(len(d1), f.type)) for f in _SCHEMA], schema=_SCHEMA))
+        return pa.concat_tables(tables).combine_chunks()
+
+    asked = rows.groupBy("part").applyInArrow(tidy(ask), "part long, d1 long, d2 long")
+    same = Window.partitionBy("d1", "d2")
+    told = asked.withColumns({"owner": F.min("part").over(same), "last": F.max("part").over(same)}).where("owner < last").drop("last")
+    parts = rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(tidy(store), f"kind int, {_PART}, {_CHUNK}")
+    parts.write.option("compression", "zstd").partitionBy("kind").parquet(f"{out}/store")
+    _write_manifest(spark, out)
+
+
+def _read(spark, out: str, kind: int, schema: str) -> DataFrame:
+    if not _exists(spark, f"{out}/store/kind={kind}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out}/store/kind={kind}")
+
+
+def _exists(spark, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _narrow(body: bytes) -> bytes:
+    """A chunk of four-byte ids in two-byte ones where that loses nothing, behind a byte that tells."""
+    ids = np.frombuffer(body, "<u4")
+    return b"\x02" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\x04" + bytes(body)
 
-    asked = rows.groupBy("part").applyInArrow(ask, "bucket int, part long, digests binary")
-    parts = rows.groupBy("part").cogroup(_owners(asked).groupBy("part")).applyInArrow(store, _STORE)
-    parts.write.option("compression", "zstd").parquet(f"{out}/parts")
-    held = spark.read.schema(_STORE).parquet(f"{out}/parts").select("part", "n_ids", "root")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one narrow row for each part
-    held.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).write.parquet(f"{out}/manifest")
 
+def _wide(body: bytes) -> bytes:
+    return np.frombuffer(body, f"<u{body[0]}", offset=1).astype("<u4").tobytes()
 
-_SCHEMA = pa.schema([("part", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("chunks", pa.list_(pa.int32())), ("recipe", pa.binary()), ("own", pa.binary()), ("own_sizes", pa.list_(pa.int32())), ("bodies", pa.binary()), ("foreign", pa.binary()), ("owners", pa.list_(pa.int64())), ("root", pa.binary())])
+
+def _write_manifest(spark, out: str) -> None:
+    """For each part its root, size and the ids before it; and one root over all parts. GROUP parts are summed at a time."""
+    held = _read(spark, out, 0, _PART).select("part", "n_ids", F.size("ids").cast("long").alias("n_docs"), "root", F.expr(f"part div {GROUP}").alias("group"))
+    inside = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row for each GROUP parts
+    first = held.groupBy("group").agg(F.sum("n_ids").alias("n")).select("group", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("first"))
+    held = held.withColumn("before", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(first, "group")
+    held.select("part", "n_ids", "n_docs", "root", (F.col("first") + F.col("before")).alias("start")).write.parquet(f"{out}/manifest")
+    spark.createDataFrame([corpus_root(spark.read.schema(_MANIFEST).parquet(f"{out}/manifest"))], "n_parts long, n_ids long, root binary").coalesce(1).write.parquet(f"{out}/corpus")
+
+
+def corpus_root(manifest: DataFrame) -> tuple[int, int, bytes]:
+    """Parts, ids, and the root over the parts' roots, sizes and starts; a root for each GROUP parts reaches the driver."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        leaves = [digest(b"".join([r["root"], *(int(r[c]).to_bytes(8, "little", signed=True) for c in ("part", "n_ids", "n_docs", "start"))])) for r in rows.to_pylist()]
+        return pa.table({"group": [rows.column("group")[0].as_py()], "n": [len(leaves)], "n_ids": [sum(rows.column("n_ids").to_pylist())], "root": pa.array([merkle_root(leaves)], pa.binary())})
+
+    groups = manifest.withColumn("group", F.expr(f"part div {GROUP}")).groupBy("group").applyInArrow(tidy(run), "group long, n long, n_ids long, root binary").collect()
+    groups = sorted(groups, key=lambda r: r["group"])
+    return sum(r["n"] for r in groups), sum(r["n_ids"] for r in groups), merkle_root([bytes(r["root"]) for r in groups])
 
 
 def _own_chunks(row: dict) -> dict[bytes, bytes]:
@@ -195,44 +268,42 @@ def _own_chunks(row: dict) -> dict[bytes, bytes]:
 
 
 def read_store(spark, out: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (with_ids: and ids) of every document of the store, in no order; raises if anything was changed."""
-    parts = spark.read.schema(_STORE).parquet(f"{out}/parts")
-    manifest = spark.read.schema("part long, n_ids long, root binary, start long").parquet(f"{out}/manifest")
+    """doc_id, start, n_tokens, ids_crc32 (with_ids: and ids) of every document of the store, in no order.
+
+    Raises ValueError if the manifest differs from the corpus root, and when it is read if a part or chunk is gone or changed."""
+    parts, chunks = _read(spark, out, 0, _PART), _read(spark, out, 1, _CHUNK)
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{out}/manifest")
+    told = spark.read.schema("n_parts long, n_ids long, root binary").parquet(f"{out}/corpus").first()
+    if told is None or corpus_root(manifest) != (told["n_parts"], told["n_ids"], bytes(told["root"])):
+        raise ValueError("the manifest differs from the corpus root")
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                owners = np.array(row["owners"], np.int64)
-                d = np.frombuffer(row["foreign"], "V16")
-                for owner in np.unique(owners):
-                    yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([row["part"]], pa.int64()), pa.array([d[owners == owner].tobytes()], pa.binary())], ["owner", "part", "digests"])
-
-    def give(held: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.table({"part": pa.array([], pa.int64()), "chunks": pa.array([], pa.binary())})
-        chunks = _own_chunks(held.to_pylist()[0])
-        given = []
-        for blob in asked.column("digests").to_pylist():
-            bodies = [chunks[blob[k : k + 16]] for k in range(0, len(blob), 16)]
-            sizes = np.array([len(b) // 4 for b in bodies], "<u4")
-            given.append(len(bodies).to_bytes(8, "little") + blob + _planes(np.frombuffer(sizes.tobytes() + b"".join(bodies), "<u4")))
-        return pa.table({"part": asked.column("part"), "chunks": pa.array(given, pa.binary())})
+            for part, foreign in zip(batch.column("part").to_pylist(), batch.column("foreign").to_pylist(), strict=True):
+                d1, d2 = _names([foreign])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(d1), pa.int64()), pa.array(d1), pa.array(d2)], ["part", "d1", "d2"])
 
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids
 
     def rebuild(held: pa.Table, given: pa.Table) -> pa.Table:
+        if not held.num_rows:
+            raise ValueError(f"part {given.column('part')[0].as_py()}: asked for chunks without being there")
         row = held.to_pylist()[0]
-        chunks = _own_chunks(row)
-        for blob in given.column("chunks").to_pylist():
-            n = int.from_bytes(blob[:8], "little")
-            flat = _ranks(blob[8 + 16 * n :]).astype("<u4")
-            ends = np.cumsum([0, *flat[:n].tolist()])
-            data = flat[n:].tobytes()
-            chunks.update((blob[8 + 16 * k : 24 + 16 * k], data[4 * ends[k] : 4 * ends[k + 1]]) for k in range(n))
+        if held.num_rows > 1 or row["recipe"] is None or row["told"] is None:
+            raise ValueError(f"part {row['part']}: it is not once in the store and once in the manifest")
+        found = _own_chunks(row)
+        for d1, d2, body in zip(given.column("d1").to_pylist(), given.column("d2").to_pylist(), given.column("body").to_pylist(), strict=True):
+            d, body = np.array([d1, d2], "<i8").tobytes(), _wide(body)
+            if digest(body) != d:
+                raise ValueError(f"part {row['part']}: a shared chunk differs from its digest")
+            found[d] = body
         recipe, at, start, out_rows, leaves = row["recipe"], 0, row["start"], [], []
         for doc_id, size, n in zip(row["ids"], row["sizes"], row["chunks"], strict=True):
             own = recipe[16 * at : 16 * (at + n)]
-            data = b"".join(chunks[own[k : k + 16]] for k in range(0, len(own), 16))
+            try:
+                data = b"".join([found[own[k : k + 16]] for k in range(0, len(own), 16)])
+            except KeyError:
+                raise ValueError(f"part {row['part']}: a chunk is gone") from None
             if len(data) != 4 * size:
                 raise ValueError(f"part {row['part']}: a document has {len(data) // 4} ids for {size}")
             leaves.append(digest(own))
@@ -242,11 +313,11 @@ def read_store(spark, out: str, with_ids: bool = False) -> DataFrame:
             raise ValueError(f"part {row['part']}: its Merkle root differs from the manifest's")
         return pa.table([pa.array([r[k] for r in out_rows], t) for k, (_, t) in enumerate(kinds)], names=[k for k, _ in kinds])
 
-    asked = parts.where(F.size("owners") > 0).select("part", "foreign", "owners").mapInArrow(ask, "owner long, part long, digests binary")
-    full = parts.drop("root").join(manifest.select("part", "start", F.col("root").alias("told")), "part")
-    given = full.groupBy("part").cogroup(asked.groupBy("owner")).applyInArrow(give, "part long, chunks binary")
+    asked = parts.where(F.octet_length("foreign") > 0).select("part", "foreign").mapInArrow(tidy(ask), "part long, d1 long, d2 long")
+    given = asked.join(chunks, ["d1", "d2"])  # a chunk that many parts share is a skewed key of a plain join
+    full = parts.drop("root").join(manifest.select("part", "start", F.col("root").alias("told")), "part", "full")
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return full.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(rebuild, fields)
+    return full.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(tidy(rebuild), fields)
 
 
 def round_trip(docs: DataFrame, path: str, out: str | None = None) -> DataFrame:

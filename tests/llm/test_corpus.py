@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -85,19 +86,63 @@ def test_token_store(docs, empty, rows, tool, spark, tmp_path):
         want[(i, start)] = (len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert got == want
-    stored = spark.read.parquet(f"{out}/parts").collect()
-    chunks = [r.own[k : k + 16] for r in stored for k in range(0, len(r.own), 16)]
+    stored, shared = tokenstore._read(spark, out, 0, tokenstore._PART).collect(), tokenstore._read(spark, out, 1, tokenstore._CHUNK).collect()
+    chunks = [bytes(r.own[k : k + 16]) for r in stored for k in range(0, len(r.own), 16)] + [np.array([r.d1, r.d2], "<i8").tobytes() for r in shared]
     assert len(chunks) == len(set(chunks))
     assert tokenstore.round_trip(empty, path).count() == 0
 
 
-def test_store_tells_changes(spark, docs, tmp_path):
+def small_store(spark, out, hot=True):
+    """A store of many parts, one doc_id with a third of all rows, copies and a text longer than a part."""
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(k))
+    common = text(120)
+    rows = [(7 if hot and k % 3 == 0 else k, (common + " " if k % 2 else "") + text(40)) for k in range(240)] + [(500, text(3000)), (None, None)]
+    tokenstore.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), vocabulary("word_bpe_49k.json"), out, part_text=4000)
+    return rows
+
+
+def test_store_of_many_parts(spark, tool, tmp_path):
     out = f"file://{tmp_path}/store"
-    tokenstore.write_store(docs, vocabulary("word_bpe_49k.json"), out)
-    changed = spark.read.parquet(f"{out}/manifest").withColumn("root", F.unhex(F.lit("00" * 16))).collect()
-    spark.createDataFrame(changed, "part long, n_ids long, root binary, start long").write.mode("overwrite").parquet(f"{out}/manifest")
-    with pytest.raises(Exception, match="Merkle root"):
-        tokenstore.read_store(spark, out).collect()
+    rows = small_store(spark, out)
+    got = tokenstore.read_store(spark, out, with_ids=True).collect()
+    want = sorted(((i is not None, i or 0), [*tool.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.ids) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == [k for k, _ in want]
+    parts = tokenstore._read(spark, out, 0, tokenstore._PART).collect()
+    assert sum(7 in r.ids for r in parts) > 3 and tokenstore._read(spark, out, 1, tokenstore._CHUNK).count() > 0
+
+
+def rewritten(spark, path, change):
+    held = spark.read.parquet(path)
+    rows = change(held.collect())
+    spark.createDataFrame(rows, held.schema).write.mode("overwrite").parquet(path)
+
+
+def test_store_tells_changes(spark, tmp_path):
+    base = tmp_path / "whole"
+    small_store(spark, f"file://{base}")
+    zero = lambda r, c: r.__class__(**{**r.asDict(), c: bytes(len(r[c]))})
+
+    def changed(name, change, *where):
+        out = tmp_path / name
+        shutil.copytree(base, out)
+        rewritten(spark, f"file://{out.joinpath(*where)}", change)
+        with pytest.raises(Exception) as told:
+            tokenstore.read_store(spark, f"file://{out}").collect()
+        return str(told.value)
+
+    assert "not once in the store" in changed("lost part", lambda rows: [r for r in rows if r.part != 3], "store", "kind=0")
+    assert "not once in the store" in changed("part twice", lambda rows: [*rows, rows[0]], "store", "kind=0")
+    assert "chunk is gone" in changed("lost chunk", lambda rows: [], "store", "kind=1")
+    assert "shared chunk differs" in changed("changed chunk", lambda rows: [r.__class__(**{**r.asDict(), "body": bytes([2]) + bytes(len(r.body) - 1)}) for r in rows], "store", "kind=1")
+    body = tokenstore._planes
+    assert "differs from its digest" in changed("changed body", lambda rows: [r.__class__(**{**r.asDict(), "bodies": body(np.zeros(sum(r.own_sizes), "<u4"))}) for r in rows], "store", "kind=0")
+    assert "Merkle root" in changed("changed recipe", lambda rows: [r.__class__(**{**r.asDict(), "recipe": bytes(r.recipe[16 * r.chunks[0] :]) + bytes(r.recipe[: 16 * r.chunks[0]]), "ids": r.ids[1:] + r.ids[:1], "sizes": r.sizes[1:] + r.sizes[:1], "chunks": r.chunks[1:] + r.chunks[:1]}) for r in rows], "store", "kind=0")
+    assert "corpus root" in changed("changed manifest", lambda rows: [zero(r, "root") for r in rows], "manifest")
+    assert "corpus root" in changed("lost manifest row", lambda rows: rows[1:], "manifest")
 
 
 def test_chunks_of_ids():
