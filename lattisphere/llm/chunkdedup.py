@@ -7,11 +7,12 @@ document with a smaller doc_id. A run of repeats grows outward, byte by byte, as
 text around the same chunk in the document with the least doc_id, and goes if it then has at least `least` bytes, which keeps
 chance repeats of a few words where they are. So of a repeated passage the first document keeps it whole.
 
-Documents travel in compressed blocks. A block names each of its chunks once, with the least doc_id that it has there; the
-chunks of all blocks meet in buckets by digest, and only what a block does not know itself, a smaller doc_id elsewhere,
-goes back to it, with the block that holds it. A chunk in every document weighs one entry for each block. For the end chunks
-of its runs a block then asks those blocks once per chunk for the bytes beside it: up to CONTEXT bytes on each side, at the
-first MOST_PLACES places of the chunk in the document with the least doc_id.
+Documents travel in compressed blocks. A block names each of its chunks once, as a row of digest, least doc_id and place; a
+window over the digest finds the least doc_id of all blocks, and only what a block does not know itself goes back to it, with
+the block that holds it. For the end chunks of its runs a block then asks for the bytes beside them: up to CONTEXT bytes on
+each side, at the first MOST_PLACES places of the chunk in the document with the least doc_id. The holder answers once for each
+chunk, however many blocks ask, and a plain join brings the answers to them. So rows exchanged grow with the text, not with
+blocks times buckets, and a chunk in every document has one row for each block.
 
 Null texts stay null and have no bytes; an empty text has no chunks; repeats inside one document, or between rows of the
 same doc_id, stay; a null doc_id counts as larger than all others. All columns are kept.
@@ -23,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, ragged, removed_runs, staged, text_bytes, tidy, to_ipc, unpack_planes, with_text, without
+from .shared import buffer_of, doc_ids, from_ipc, mix, packed, ragged, removed_runs, staged, tidy, to_ipc, with_text, without
 
-WINDOW, LEAST_RUN, BUCKET_TEXT = 64, 100, 8 << 20  # WINDOW: a power of two
+WINDOW, LEAST_RUN = 64, 100  # WINDOW: a power of two
 CONTEXT, MOST_PLACES = 256, 4
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -74,71 +75,47 @@ class Chunks:
         self.digests = np.frombuffer(each, np.uint64).reshape(-1, 2)
         self.rows = np.searchsorted(self.offsets, self.starts, "right") - 1
 
-    def distinct(self, ids: np.ndarray, buckets: int):
-        """Digests in order of bucket and value, the least id of each, their buckets, and the place of each chunk's digest."""
+    def distinct(self, ids: np.ndarray):
+        """Distinct digests in order, the least id of each, and the place of each chunk's digest."""
         d, own = self.digests, ids[self.rows]
-        home = (d[:, 0] % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((own, d[:, 1], d[:, 0], home))
+        order = np.lexsort((own, d[:, 1], d[:, 0]))
         d = d[order]
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]).any(axis=1)
         place = np.empty(len(d), np.int64)
         place[order] = np.cumsum(new) - 1
-        return d[new], own[order][new], home[order][new], place
+        return d[new], own[order][new], place
 
 
-def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
+def _told(blocks: DataFrame) -> DataFrame:
+    """For each block the places, among its distinct digests, of those that have a smaller doc_id elsewhere, that id and the block that holds it.
+
+    A row for each distinct digest of a block, so the exchange grows with the text alone; a chunk of every text has a row for each block."""
+
     def run(batches):
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 rows = from_ipc(payload.as_py())
-                d, least, home, _ = Chunks(rows.column("text")).distinct(doc_ids(rows.column("doc_id")), buckets)
-                edges = np.searchsorted(home, np.arange(buckets + 1))
-                out = [(int(b), block, d[edges[b] : edges[b + 1]].tobytes(), pack_planes(least[edges[b] : edges[b + 1]])) for b in np.flatnonzero(np.diff(edges))]
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["bucket", "block", "digests", "least"])
-
-    return blocks.mapInArrow(tidy(run), "bucket int, block long, digests binary, least binary")
-
-
-def _answers(asked: DataFrame) -> DataFrame:
-    """For each block and bucket the places, among the digests it asked for, that have a smaller doc_id elsewhere, those ids and the blocks that hold them."""
+                d, least, _ = Chunks(rows.column("text")).distinct(doc_ids(rows.column("doc_id")))
+                d = d.view(np.int64)
+                for at in range(0, len(d), 1 << 16):
+                    own = slice(at, min(len(d), at + (1 << 16)))
+                    yield pa.RecordBatch.from_arrays([pa.array(d[own, 0]), pa.array(d[own, 1]), pa.array(least[own]), pa.array(np.full(own.stop - at, block)), pa.array(np.arange(at, own.stop, dtype=np.int32))], ["d1", "d2", "least", "block", "place"])
 
-    def run(part: pa.Table) -> pa.Table:
-        blobs = part.column("digests").to_pylist()
-        d = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-        least = np.concatenate([unpack_planes(x, np.int64) for x in part.column("least").to_pylist()])
-        edges, out = np.cumsum([0, *(len(b) // 16 for b in blobs)]), []
-        holder = np.repeat(part.column("block").to_numpy(), np.diff(edges))
-        order = np.lexsort((holder, least, d[:, 1], d[:, 0]))
-        new = np.ones(len(d), bool)
-        new[1:] = (d[order][1:] != d[order][:-1]).any(axis=1)
-        first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        whole, source = np.empty(len(d), np.int64), np.empty(len(d), np.int64)
-        whole[order], source[order] = least[first], holder[first]
-        for k, block in enumerate(part.column("block").to_pylist()):
-            own = slice(edges[k], edges[k + 1])
-            places = np.flatnonzero(whole[own] < least[own])
-            if len(places):
-                out.append((block, int(part.column("bucket")[k].as_py()), pack_planes(places.astype(np.uint32)), pack_planes(whole[own][places]), pack_planes(source[own][places])))
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["block", "bucket", "places", "least", "source"])
-
-    return asked.groupBy("bucket").applyInArrow(tidy(run), "block long, bucket int, places binary, least binary, source binary")
+    asked = blocks.mapInArrow(tidy(run), "d1 long, d2 long, least long, block long, place int")
+    first = asked.withColumn("first", F.min(F.struct("least", "block")).over(Window.partitionBy("d1", "d2"))).where("first.least < least")
+    return first.select("block", "place", F.col("first.least").alias("least"), F.col("first.block").alias("source"))
 
 
 class Repeats:
     """The repeated chunks of a block, by what the buckets told it, and the ends of their runs."""
 
-    def __init__(self, block: int, rows: pa.RecordBatch, told: pa.Table, buckets: int):
+    def __init__(self, block: int, rows: pa.RecordBatch, told: pa.Table):
         ids = doc_ids(rows.column("doc_id"))
         self.chunks = Chunks(rows.column("text"))
-        _, least, home, self.place = self.chunks.distinct(ids, buckets)
-        least, edges = least.copy(), np.searchsorted(home, np.arange(buckets + 1))
-        source = np.full(len(least), block)
-        for bucket, places, values, blocks in zip(*(told.column(c).to_pylist() for c in ("bucket", "places", "least", "source")), strict=True):
-            at = edges[bucket] + unpack_planes(places, np.uint32).astype(np.int64)
-            least[at], source[at] = unpack_planes(values, np.int64), unpack_planes(blocks, np.int64)
+        _, least, self.place = self.chunks.distinct(ids)
+        least, source, at = least.copy(), np.full(len(least), block), told.column("place").to_numpy()
+        least[at], source[at] = told.column("least").to_numpy(), told.column("source").to_numpy()
         self.least, self.source = least[self.place], source[self.place]
         rows_of = self.chunks.rows
         self.dup = ids[rows_of] > self.least
@@ -190,73 +167,60 @@ def common_end(x: bytes, y: bytes) -> int:
     return common_start(x[::-1], y[::-1])
 
 
-def _pack_contexts(digests: list[bytes], sides: list[tuple[bytes, bytes]]) -> bytes:
-    found = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([x for x, _ in sides], pa.binary()), pa.array([y for _, y in sides], pa.binary())], ["digest", "left", "right"])
-    return to_ipc(found)
-
-
 def _contexts(told: pa.Table) -> dict:
+    """The (left, right) bytes around the places of each digest."""
     out: dict = {}
-    for payload in told.column("contexts").to_pylist():
-        found = from_ipc(payload)
-        for digest, left, right in zip(*(c.to_pylist() for c in found.columns), strict=True):
-            out.setdefault(digest, []).append((left, right))
+    for d1, d2, sides in zip(*(told.column(c).to_pylist() for c in ("d1", "d2", "sides")), strict=True):
+        found = from_ipc(sides)
+        out[np.array([d1, d2], np.int64).tobytes()] = list(zip(*(c.to_pylist() for c in found.columns), strict=True))
     return out
 
 
 def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """All columns of docs, text without its repeated passages, and n_bytes (before), n_removed, n_spans."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans")
-    buckets = parts_for(text_bytes(docs), BUCKET_TEXT, 32)
     blocks, _ = staged(packed(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "blocks")
-    answers, _ = staged(_answers(_asked(blocks, buckets)), "answers")
-    told_by_block = answers.groupBy("block")
+    told, _ = staged(_told(blocks), "told")
 
     def ask(held: pa.Table, told: pa.Table) -> pa.Table:
-        block = held.column("block")[0].as_py()
-        found = Repeats(block, from_ipc(held.column("payload")[0].as_py()), told, buckets)
+        found = Repeats(held.column("block")[0].as_py(), from_ipc(held.column("payload")[0].as_py()), told)
         ends = found.ends()
-        source, least, digests = found.source[ends], found.least[ends], found.chunks.digests[ends]
-        order = np.lexsort((digests[:, 1], digests[:, 0], source))
-        same = np.zeros(len(order), bool)
-        same[1:] = (source[order][1:] == source[order][:-1]) & (digests[order][1:] == digests[order][:-1]).all(axis=1)
-        order = order[~same]
-        blocks_asked, first = np.unique(source[order], return_index=True)
-        edges = [*first.tolist(), len(order)]
-        parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table([pa.array(blocks_asked), pa.array([block] * len(parts), pa.int64()), pa.array([digests[o].tobytes() for o in parts], pa.binary()), pa.array([pack_planes(least[o]) for o in parts], pa.binary())], names=["holder", "block", "digests", "least"])
-
-    asking = blocks.groupBy("block").cogroup(told_by_block).applyInArrow(tidy(ask), "holder long, block long, digests binary, least binary")
+        source, least, digests = found.source[ends], found.least[ends], found.chunks.digests[ends].view(np.int64)
+        each = pa.table({"holder": source, "d1": np.ascontiguousarray(digests[:, 0]), "d2": np.ascontiguousarray(digests[:, 1]), "least": least})
+        each = each.group_by(["holder", "d1", "d2", "least"]).aggregate([])
+        return each.append_column("block", pa.repeat(held.column("block")[0], each.num_rows)).select(["holder", "d1", "d2", "least", "block"])
+
+    asking, _ = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy(ask), "holder long, d1 long, d2 long, least long, block long"), "asked")
+    wanted = asking.select("holder", "d1", "d2", "least").distinct()  # however many ask, a holder answers once for each of its chunks
 
     def reply(held: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
+        out = {"d1": [], "d2": [], "sides": []}
         if held.num_rows and asked.num_rows:
             rows = from_ipc(held.column("payload")[0].as_py())
             ids, chunks = doc_ids(rows.column("doc_id")), Chunks(rows.column("text"))
             whole, places = chunks.data.tobytes(), {}
-            wanted = set()
-            asks = [(b, [d[k : k + 16] for k in range(0, len(d), 16)], unpack_planes(x, np.int64).tolist()) for b, d, x in zip(*(asked.column(c).to_pylist() for c in ("block", "digests", "least")), strict=True)]
-            for _, d, least in asks:
-                wanted.update(zip(d, least, strict=True))
-            flat = chunks.digests.tobytes()
-            for k, i in enumerate(ids[chunks.rows].tolist()):
-                name = (flat[16 * k : 16 * k + 16], i)
+            wanted = set(zip(*(asked.column(c).to_pylist() for c in ("d1", "d2", "least")), strict=True))
+            digests = chunks.digests.view(np.int64).tolist()
+            for k, (d, i) in enumerate(zip(digests, ids[chunks.rows].tolist(), strict=True)):
+                name = (*d, i)
                 if name in wanted and len(own := places.setdefault(name, [])) < MOST_PLACES:
                     begin, end, a, b = int(chunks.offsets[chunks.rows[k]]), int(chunks.offsets[chunks.rows[k] + 1]), int(chunks.starts[k]), int(chunks.ends[k])
                     own.append((whole[max(begin, a - CONTEXT) : a], whole[b : min(end, b + CONTEXT)]))
-            for b, d, least in asks:
-                sides = [(name[0], x) for name in zip(d, least, strict=True) for x in places.get(name, ())]
-                out.append((b, _pack_contexts([x for x, _ in sides], [x for _, x in sides])))
-        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["block", "contexts"])
+            for (d1, d2, _), sides in places.items():
+                out["d1"].append(d1)
+                out["d2"].append(d2)
+                out["sides"].append(to_ipc(pa.RecordBatch.from_arrays([pa.array([x for x, _ in sides], pa.binary()), pa.array([y for _, y in sides], pa.binary())], ["left", "right"])))
+        return pa.table([pa.array(out["d1"], pa.int64()), pa.array(out["d2"], pa.int64()), pa.array(out["sides"], pa.binary())], names=list(out))
 
-    replies = blocks.groupBy("block").cogroup(asking.groupBy("holder")).applyInArrow(tidy(reply), "block long, contexts binary")
-    told_all = answers.withColumn("contexts", F.lit(None).cast("binary")).unionByName(replies, allowMissingColumns=True)
+    replies = blocks.groupBy("block").cogroup(wanted.groupBy("holder")).applyInArrow(tidy(reply), "d1 long, d2 long, sides binary")
+    given = asking.select("block", "d1", "d2").join(replies, ["d1", "d2"])  # a chunk that many blocks ask for is a skewed key of a plain join
+    told_all = told.unionByName(given, allowMissingColumns=True)
 
     def finish(held: pa.Table, told: pa.Table) -> pa.Table:
         rows = from_ipc(held.column("payload")[0].as_py())
-        is_answer = told.column("contexts").is_null()
-        found = Repeats(held.column("block")[0].as_py(), rows, told.filter(is_answer), buckets)
-        chunks, gone = found.chunks, found.gone(_contexts(told.filter(pc.invert(is_answer))), least_run)
+        is_place = told.column("sides").is_null()
+        found = Repeats(held.column("block")[0].as_py(), rows, told.filter(is_place))
+        chunks, gone = found.chunks, found.gone(_contexts(told.filter(pc.invert(is_place))), least_run)
         n_removed, n_spans = removed_runs(gone, chunks.offsets)
         columns = with_text(rows, without(chunks.data, chunks.offsets, gone))
         return pa.table([*columns, pa.array(np.diff(chunks.offsets)), pa.array(n_removed), pa.array(n_spans)], names=[*rows.schema.names, "n_bytes", "n_removed", "n_spans"])
