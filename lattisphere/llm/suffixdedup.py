@@ -3,8 +3,9 @@
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id. Texts are too many
 for one suffix array, so equal strings first meet in one place. In every string of LENGTH bytes one run of GRAM bytes has the
 least hash; equal strings choose equal runs, so the hash of the chosen run is a key under which all copies of a string meet.
-Blocks of documents name their keys; strings whose key two or more documents have are candidates. They go, as short snippets of text with the least doc_id that the
-block has for them, to the bucket of their key.
+Blocks of documents name their keys, one row each; strings whose key two or more documents have are candidates. They go, as
+short snippets of text with the least doc_id that the block has for them, to the bucket of their key: one row for each block
+and bucket, so at most one for each candidate.
 
 A bucket holds its distinct snippets in one buffer and sorts the candidate suffixes in two stages (Itoh and Tanaka, 1999):
 suffixes smaller than their successors are sorted directly, on LENGTH bytes; a scan of the byte buckets in ascending order
@@ -21,10 +22,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, ragged, removed_runs, span_hashes, staged, text_bytes, unpack_planes, without
+from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, ragged, removed_runs, span_hashes, staged, text_bytes, tidy, unpack_planes, without
 
 LENGTH, GRAM, BLOCK_TEXT, BUCKET_TEXT = 50, 16, 2 << 20, 4 << 20
 
@@ -70,11 +71,10 @@ class Grams:
         self.picks = self.chosen[new]
         self.keys = h[self.picks]
 
-    def distinct(self, buckets: int):
-        """Keys in order of bucket and value, their buckets, whether two of the block's documents have them, and each pick's place."""
+    def distinct(self):
+        """Keys in order, whether two of the block's documents have them, and each pick's place."""
         own = self.ids[np.searchsorted(self.offsets, self.picks, "right") - 1]
-        home = (self.keys % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((own, self.keys, home))
+        order = np.lexsort((own, self.keys))
         k, own = self.keys[order], own[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
@@ -82,7 +82,7 @@ class Grams:
         last = np.concatenate([first[1:], [len(k)]]) - 1 if len(k) else first
         place = np.empty(len(k), np.int64)
         place[order] = np.cumsum(new) - 1
-        return k[new], home[order][new], own[first] != own[last], place
+        return k[new], own[first] != own[last], place
 
     def snippets(self, known: np.ndarray, place: np.ndarray, buckets: int):
         """Candidate strings as runs of neighbouring starts with one chosen run: starts, lengths and bucket of each."""
@@ -166,44 +166,27 @@ def least_ids(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.
     return least[places]
 
 
-def _keys(blocks: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def _shared_keys(blocks: DataFrame, length: int, gram: int) -> DataFrame:
+    """For each block the places of its keys that another block has too; a row for each distinct key of a block is exchanged."""
+
     def run(batches):
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 rows = from_ipc(payload.as_py())
-                keys, home, _, _ = Grams(rows.column("text"), doc_ids(rows.column("doc_id")), length, gram).distinct(buckets)
-                edges = np.searchsorted(home, np.arange(buckets + 1))
-                out = [(int(b), block, pack_planes(np.diff(keys[edges[b] : edges[b + 1]], prepend=np.uint64(0)))) for b in np.flatnonzero(np.diff(edges))]
-                kinds = (pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["bucket", "block", "packed"])
-
-    return blocks.mapInArrow(run, "bucket int, block long, packed binary")
-
-
-def _shared_keys(asked: DataFrame) -> DataFrame:
-    """For each block and bucket a bit for each key that it named: whether another block named it."""
-
-    def run(part: pa.Table) -> pa.Table:
-        each = [np.cumsum(unpack_planes(x, np.uint64)) for x in part.column("packed").to_pylist()]
-        keys = np.concatenate(each)
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        twice = np.zeros(len(keys), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(x) for x in each])[:-1])]
-        return pa.table({"block": part.column("block"), "bucket": part.column("bucket"), "bits": pa.array(bits, pa.binary())})
+                keys, _, _ = Grams(rows.column("text"), doc_ids(rows.column("doc_id")), length, gram).distinct()
+                keys = keys.view(np.int64)
+                for at in range(0, len(keys), 1 << 16):
+                    own = keys[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block)), pa.array(np.arange(at, at + len(own), dtype=np.int32))], ["key", "block", "place"])
 
-    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, bits binary")
+    asked = blocks.mapInArrow(tidy(run), "key long, block long, place int")
+    return asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("block", "place")
 
 
-def _known(told: pa.Table, home: np.ndarray, local: np.ndarray, buckets: int) -> np.ndarray:
+def _known(told: pa.Table, local: np.ndarray) -> np.ndarray:
     """Which of a block's keys two or more documents have."""
-    known, edges = local.copy(), np.searchsorted(home, np.arange(buckets + 1))
-    for bucket, bits in zip(told.column("bucket").to_pylist(), told.column("bits").to_pylist(), strict=True):
-        if bits is not None:
-            n = edges[bucket + 1] - edges[bucket]
-            known[edges[bucket] : edges[bucket + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    known = local.copy()
+    known[told.column("place").drop_null().to_numpy()] = True
     return known
 
 
@@ -214,8 +197,8 @@ class _Asked:
         self.rows = from_ipc(held.column("payload")[0].as_py())
         ids = doc_ids(self.rows.column("doc_id"))
         g = self.grams = Grams(self.rows.column("text"), ids, length, gram)
-        _, home, local, place = g.distinct(buckets)
-        self.starts, self.counts, self.home = g.snippets(_known(told, home, local, buckets), place, buckets)
+        _, local, place = g.distinct()
+        self.starts, self.counts, self.home = g.snippets(_known(told, local), place, buckets)
         self.row = np.searchsorted(g.offsets, self.starts, "right") - 1
         own = ids[self.row]
         h = span_hashes(g.data, self.starts, self.starts + self.counts + length - 1)
@@ -247,7 +230,7 @@ def _strings(blocks: DataFrame, told: DataFrame, buckets: int, length: int, gram
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["bucket", "block", "counts", "ids", "text"])
 
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "bucket int, block long, counts binary, ids binary, text binary")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy(run), "bucket int, block long, counts binary, ids binary, text binary")
 
 
 def _resolved(strings: DataFrame, length: int) -> DataFrame:
@@ -282,16 +265,16 @@ def _resolved(strings: DataFrame, length: int) -> DataFrame:
         out = [pack_planes(x) for x in np.split(whole, ends[:-1])]
         return pa.table({"block": part.column("block"), "bucket": part.column("bucket"), "least": pa.array(out, pa.binary())})
 
-    return strings.groupBy("bucket").applyInArrow(run, "block long, bucket int, least binary")
+    return strings.groupBy("bucket").applyInArrow(tidy(run), "block long, bucket int, least binary")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (with_text: and the kept bytes)."""
     buckets = parts_for(text_bytes(docs), BUCKET_TEXT, 32)
     blocks, _ = staged(packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BLOCK_TEXT), "blocks")
-    told = _shared_keys(_keys(blocks, buckets, length, gram))
+    told = _shared_keys(blocks, length, gram)
     least = _resolved(_strings(blocks, told, buckets, length, gram), length)
-    both = told.withColumn("least", F.lit(None).cast("binary")).unionByName(least.withColumn("bits", F.lit(None).cast("binary")))
+    both = told.unionByName(least, allowMissingColumns=True)
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
 
     def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
@@ -301,9 +284,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         at = np.cumsum(counts) - counts
         values = np.full(int(counts.sum()), LAST_ID)
         edges = np.concatenate([at, [len(values)]])[asked.edges]
-        for bucket, own in zip(answers.column("bucket").to_pylist(), answers.column("least").to_pylist(), strict=True):
-            if own is not None:
-                values[edges[bucket] : edges[bucket + 1]] = unpack_planes(own, np.int64)
+        told = answers.filter(answers.column("least").is_valid())
+        for bucket, own in zip(told.column("bucket").to_pylist(), told.column("least").to_pylist(), strict=True):
+            values[edges[bucket] : edges[bucket + 1]] = unpack_planes(own, np.int64)
         places = ragged(asked.starts, asked.counts)
         least_of = values[ragged(at[asked.place], asked.counts)]
         own_ids = np.repeat(asked.grams.ids[asked.row], asked.counts)
@@ -318,4 +301,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         return pa.table(columns, names=[k for k, _ in kinds])
 
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, fields)
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(tidy(finish), fields)
