@@ -11,7 +11,7 @@ them as a document that reaches the threshold cannot all lack, so none of these
 
 Words are runs without ASCII white space after A-Z became a-z; shingles have `width` words (5). An item with fewer words is one
 shingle, its whole word sequence, looked for as such. Null and empty items match nothing; null and empty documents hold
-nothing. Repeated items and documents each give their rows. Other columns are ignored.
+nothing. Repeated items and documents each give their rows, under whatever doc_id, null included. Other columns are ignored.
 
 Items are sent to all executors in groups of ITEM_BYTES of text at most; a larger benchmark takes more passes.
 """
@@ -124,42 +124,61 @@ def candidates(items: Items, texts: pa.Array) -> set[tuple[int, int]]:
     return out
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment of each item that a document holds to the threshold or more."""
-    spark = docs.sparkSession
+def _passes(items: DataFrame, item_bytes: int, width: int, threshold: float):
+    """The items in groups of item_bytes of text at most (or one item), each group broadcast."""
+    spark = items.sparkSession
     small = items.select("item_id", "text", F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64).over(Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     small = small.withColumn("pass", F.floor(F.col("upto") / item_bytes))
-    passes = [r[0] for r in small.select("pass").distinct().orderBy("pass").collect()]
+    for one in [r[0] for r in small.select("pass").distinct().orderBy("pass").collect()]:
+        own = small.where(F.col("pass") == one).orderBy("item_id", "text").select("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in own], width, threshold))
+
+
+def _found(known: Items, texts: pa.Array, threshold: float):
+    """(row, item, shared shingles, shingles of the item) of each item that a text holds."""
+    at, words, own = None, None, {}
+    for k, item in sorted(candidates(known, texts)):
+        if k != at:
+            at, words, own = k, _words(texts[k].as_py()), {}
+        asked = known.sets[item]
+        size = next(iter(asked)).count(b" ") + 1
+        if size not in own:
+            own[size] = shingles(words, size) if len(words) >= size else set()
+        shared = len(asked & own[size])
+        if shared >= threshold * len(asked):
+            yield k, item, shared, len(asked)
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment of each item that a document holds to the threshold or more."""
     out, texts = None, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fields = "doc_id long, item_id long, n_shared long, n_item long, containment double"
-    for one in passes:
-        held = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in small.where(F.col("pass") == one).orderBy("item_id", "text").select("item_id", "text").collect()], width, threshold))  # ITEM_BYTES of text and one item at most
+    for held in _passes(items, item_bytes, width, threshold):
 
         def run(batches, held=held):
             known = held.value
             for batch in batches:
                 for piece in slices(batch):
-                    found = sorted(candidates(known, piece.column("text")))
-                    rows, at, words, own = [], None, None, {}
-                    for k, item in found:
-                        if k != at:
-                            at, words, own = k, _words(piece.column("text")[k].as_py()), {}
-                        asked = known.sets[item]
-                        size = next(iter(asked)).count(b" ") + 1
-                        if size not in own:
-                            own[size] = shingles(words, size) if len(words) >= size else set()
-                        shared = len(asked & own[size])
-                        if shared >= threshold * len(asked):
-                            rows.append((piece.column("doc_id")[k].as_py(), known.ids[item], shared, len(asked), shared / len(asked)))
+                    rows = [(piece.column("doc_id")[k].as_py(), known.ids[item], shared, n, shared / n) for k, item, shared, n in _found(known, piece.column("text"), threshold)]
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
         own = texts.mapInArrow(tidy(run), fields)
         out = own if out is None else out.unionByName(own)
-    return out if out is not None else spark.createDataFrame([], fields)
+    return out if out is not None else docs.sparkSession.createDataFrame([], fields)
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The documents that hold no item, with their own columns."""
-    gone = contained(docs, items, threshold, width).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The documents that hold no item, with their own columns. Each row is judged by its own text, whatever its doc_id (null or repeated)."""
+    for held in _passes(items, item_bytes, width, threshold):
+
+        def run(batches, held=held):
+            known = held.value
+            for batch in batches:
+                for piece in slices(batch):
+                    clean = np.ones(piece.num_rows, bool)
+                    clean[[k for k, *_ in _found(known, piece.column("text"), threshold)]] = False
+                    yield piece.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(tidy(run), docs.schema)
+    return docs

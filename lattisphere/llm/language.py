@@ -152,7 +152,7 @@ def _letters(texts: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the documents whose lang and text are not null."""
-    good = docs.select(F.xxhash64("doc_id", F.lit(5)).alias("coin"), "lang", "text").where("lang is not null and text is not null")
+    good = docs.select(F.xxhash64("doc_id", F.lit(5)).alias("coin"), F.xxhash64("doc_id", "lang", "text").alias("key"), "lang", "text").where("lang is not null and text is not null")
     counts = {r[0]: r[1] for r in good.groupBy("lang").count().collect()}  # one row for each language
     if not counts:
         return None
@@ -163,9 +163,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         for batch in batches:
             for piece in slices(batch, most=1 << 21):
                 rows = _shares(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("lang"), pa.array([a.tolist() for a, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32()))], ["lang", "at", "share"])
+                yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("key"), pa.array([a.tolist() for a, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32()))], ["lang", "key", "at", "share"])
 
-    table = drawn.select("lang", "text").mapInArrow(tidy(run), "lang string, at array<int>, share array<float>").toArrow()
+    table = drawn.select("lang", "key", "text").mapInArrow(tidy(run), "lang string, key long, at array<int>, share array<float>").toArrow()
+    table = table.sort_by([("key", "ascending"), ("lang", "ascending")])  # the same order however the files are laid out
     if not table.num_rows:
         return None
     at, share = table.column("at").combine_chunks(), table.column("share").combine_chunks()
@@ -206,8 +207,8 @@ def identify(docs: DataFrame, of: int = 4, kept_out: int = 2) -> DataFrame:
     return predicted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, of: int = 4, kept_out: int = 2) -> DataFrame:
-    """The documents with a language, with their own columns: those that are `und` or below the least score go."""
+def keep_identified(docs: DataFrame, of: int = 4, kept_out: int = 2) -> DataFrame:
+    """The documents with a language, with their own columns: those that are `und` (null, or without a letter) go."""
     model = fit(docs.where(~held_out(of, kept_out)))
-    own = ("__language", "__certainty")
-    return predicted(docs, model, own).where((F.col(own[0]) != "und") & (F.col(own[1]) >= least)).select(*docs.columns)
+    own = [next(n for k in itertools.count() if (n := f"__{name}{k}") not in docs.columns) for name in ("language", "certainty")]
+    return predicted(docs, model, (own[0], own[1])).where(F.col(own[0]) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_hinge, fit_scale, logistic
-from .shared import buffer_of, lowered, mix, slices, span_hashes, words_of
+from .shared import buffer_of, lowered, mix, slices, span_hashes, tidy, words_of
 
 PER_CLASS = 3000
 PAIRS, SHAPES = 1 << 16, 1 << 16
@@ -87,9 +87,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     def run(batches):
         for batch in batches:
             for piece in slices(batch):
-                yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array([x.tolist() for x in features(piece.column("text"))], pa.list_(pa.int32()))], ["y", "at"])
+                yield pa.RecordBatch.from_arrays([piece.column("y"), piece.column("key"), pa.array([x.tolist() for x in features(piece.column("text"))], pa.list_(pa.int32()))], ["y", "key", "at"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("y", "text").mapInArrow(run, "y int, at array<int>").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("y", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(tidy(run), "y int, key long, at array<int>").toArrow().sort_by([("key", "ascending"), ("y", "ascending")])  # the same order however the files are laid out
     y = np.where(rows.column("y").to_numpy() == 1, 1, -1)
     if len(set(y.tolist())) < 2:
         return None
@@ -123,7 +123,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
                 margins = np.array([weights[x].sum() / np.sqrt(max(1, len(x))) + bias for x in features(piece.column("text"))])
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(logistic(margins))], ["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, of: int = 3, kept_out: int = 1) -> DataFrame:
