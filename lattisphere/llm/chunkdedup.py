@@ -10,7 +10,7 @@ chance repeats of a few words where they are. So of a repeated passage the first
 Documents travel in compressed blocks. A block names each of its chunks once, as a row of digest, least doc_id and place; a
 window over the digest finds the least doc_id of all blocks, and only what a block does not know itself goes back to it, with
 the block that holds it. For the end chunks of its runs a block then asks for the bytes beside them: up to CONTEXT bytes on
-each side, at the first MOST_PLACES places of the chunk in the document with the least doc_id. The holder answers once for each
+the run's side, at the first MOST_PLACES places of the chunk in the document with the least doc_id. The holder answers once for each
 chunk, however many blocks ask, and a plain join brings the answers to them. So rows exchanged grow with the text, not with
 blocks times buckets, and a chunk in every document has one row for each block.
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, doc_ids, from_ipc, mix, packed, ragged, removed_runs, staged, tidy, to_ipc, with_text, without
+from .shared import buffer_of, doc_ids, from_ipc, mix, packed, ragged, removed_runs, staged, tidy, with_text, without
 
 WINDOW, LEAST_RUN = 64, 100  # WINDOW: a power of two
 CONTEXT, MOST_PLACES = 256, 4
@@ -123,24 +123,25 @@ class Repeats:
         joined[1:-1] = self.dup[1:] & self.dup[:-1] & (rows_of[1:] == rows_of[:-1])
         self.first, self.last = np.flatnonzero(self.dup & ~joined[:-1]), np.flatnonzero(self.dup & ~joined[1:])
 
-    def ends(self) -> np.ndarray:
-        """The chunks to ask for: the outer two at each end of each run."""
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks to ask for, the outer two at each end of each run, and the side (0: left, 1: right) to ask of each."""
         inner = self.first < self.last
-        return np.unique(np.concatenate([self.first, self.last, self.first[inner] + 1, self.last[inner] - 1]))
+        left, right = (np.concatenate([outer, outer[inner] + step]) for outer, step in ((self.first, 1), (self.last, -1)))
+        return np.concatenate([left, right]), np.repeat([0, 1], [len(left), len(right)])
 
     def gone(self, contexts: dict, least_run: int) -> np.ndarray:
-        """The bytes to remove; contexts: (left, right) bytes around each place of a digest."""
+        """The bytes to remove; contexts: the bytes beside each place of a digest, by side."""
         data, offsets, starts, ends = self.chunks.data, self.chunks.offsets, self.chunks.starts, self.chunks.ends
-        whole, rows, digests, out = data.tobytes(), self.chunks.rows, self.chunks.digests, np.zeros(len(data), bool)
+        whole, rows, digests, out = data.tobytes(), self.chunks.rows, self.chunks.digests.view(np.int64), np.zeros(len(data), bool)
         for a, b in zip(self.first.tolist(), self.last.tolist(), strict=True):
             low, high, row = int(starts[a]), int(ends[b]), int(rows[a])
             begin, end = int(offsets[row]), int(offsets[row + 1])
             for k in range(a, min(a + 2, b + 1)):
-                for left, _ in contexts.get(digests[k].tobytes(), ()):
+                for left in contexts.get((*digests[k].tolist(), 0), ()):
                     at = int(starts[k])
                     low = min(low, at - common_end(whole[max(begin, at - CONTEXT) : at], left))
             for k in range(max(a, b - 1), b + 1):
-                for _, right in contexts.get(digests[k].tobytes(), ()):
+                for right in contexts.get((*digests[k].tolist(), 1), ()):
                     at = int(ends[k])
                     high = max(high, at + common_start(whole[at : min(end, at + CONTEXT)], right))
             while low < starts[a] and data[low] & 0xC0 == 0x80:  # whole characters only
@@ -168,12 +169,8 @@ def common_end(x: bytes, y: bytes) -> int:
 
 
 def _contexts(told: pa.Table) -> dict:
-    """The (left, right) bytes around the places of each digest."""
-    out: dict = {}
-    for d1, d2, sides in zip(*(told.column(c).to_pylist() for c in ("d1", "d2", "sides")), strict=True):
-        found = from_ipc(sides)
-        out[np.array([d1, d2], np.int64).tobytes()] = list(zip(*(c.to_pylist() for c in found.columns), strict=True))
-    return out
+    """The bytes beside the places of each digest, by digest and side."""
+    return {(d1, d2, side): beside for d1, d2, side, beside in zip(*(told.column(c).to_pylist() for c in ("d1", "d2", "side", "beside")), strict=True)}
 
 
 def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
@@ -184,41 +181,40 @@ def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 
     def ask(held: pa.Table, told: pa.Table) -> pa.Table:
         found = Repeats(held.column("block")[0].as_py(), from_ipc(held.column("payload")[0].as_py()), told)
-        ends = found.ends()
-        source, least, digests = found.source[ends], found.least[ends], found.chunks.digests[ends].view(np.int64)
-        each = pa.table({"holder": source, "d1": np.ascontiguousarray(digests[:, 0]), "d2": np.ascontiguousarray(digests[:, 1]), "least": least})
-        each = each.group_by(["holder", "d1", "d2", "least"]).aggregate([])
-        return each.append_column("block", pa.repeat(held.column("block")[0], each.num_rows)).select(["holder", "d1", "d2", "least", "block"])
+        ends, side = found.ends()
+        digests = found.chunks.digests[ends].view(np.int64)
+        each = pa.table({"holder": found.source[ends], "d1": np.ascontiguousarray(digests[:, 0]), "d2": np.ascontiguousarray(digests[:, 1]), "least": found.least[ends], "side": side.astype(np.int32)})
+        each = each.group_by(each.column_names).aggregate([])
+        return each.append_column("block", pa.repeat(held.column("block")[0], each.num_rows)).select(["holder", "d1", "d2", "least", "side", "block"])
 
-    asking, _ = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy(ask), "holder long, d1 long, d2 long, least long, block long"), "asked")
-    wanted = asking.select("holder", "d1", "d2", "least").distinct()  # however many ask, a holder answers once for each of its chunks
+    asking, _ = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy(ask), "holder long, d1 long, d2 long, least long, side int, block long"), "asked")
+    wanted = asking.select("holder", "d1", "d2", "least", "side").distinct()  # however many ask, a holder answers once for each of its chunks
 
     def reply(held: pa.Table, asked: pa.Table) -> pa.Table:
-        out = {"d1": [], "d2": [], "sides": []}
+        found: dict = {}
         if held.num_rows and asked.num_rows:
             rows = from_ipc(held.column("payload")[0].as_py())
             ids, chunks = doc_ids(rows.column("doc_id")), Chunks(rows.column("text"))
-            whole, places = chunks.data.tobytes(), {}
-            wanted = set(zip(*(asked.column(c).to_pylist() for c in ("d1", "d2", "least")), strict=True))
-            digests = chunks.digests.view(np.int64).tolist()
-            for k, (d, i) in enumerate(zip(digests, ids[chunks.rows].tolist(), strict=True)):
-                name = (*d, i)
-                if name in wanted and len(own := places.setdefault(name, [])) < MOST_PLACES:
-                    begin, end, a, b = int(chunks.offsets[chunks.rows[k]]), int(chunks.offsets[chunks.rows[k] + 1]), int(chunks.starts[k]), int(chunks.ends[k])
-                    own.append((whole[max(begin, a - CONTEXT) : a], whole[b : min(end, b + CONTEXT)]))
-            for (d1, d2, _), sides in places.items():
-                out["d1"].append(d1)
-                out["d2"].append(d2)
-                out["sides"].append(to_ipc(pa.RecordBatch.from_arrays([pa.array([x for x, _ in sides], pa.binary()), pa.array([y for _, y in sides], pa.binary())], ["left", "right"])))
-        return pa.table([pa.array(out["d1"], pa.int64()), pa.array(out["d2"], pa.int64()), pa.array(out["sides"], pa.binary())], names=list(out))
-
-    replies = blocks.groupBy("block").cogroup(wanted.groupBy("holder")).applyInArrow(tidy(reply), "d1 long, d2 long, sides binary")
-    given = asking.select("block", "d1", "d2").join(replies, ["d1", "d2"])  # a chunk that many blocks ask for is a skewed key of a plain join
+            whole, offsets, starts, ends = chunks.data.tobytes(), chunks.offsets.tolist(), chunks.starts.tolist(), chunks.ends.tolist()
+            for name in zip(*(asked.column(c).to_pylist() for c in ("d1", "d2", "least", "side")), strict=True):
+                found[name] = []
+            digests = chunks.digests.view(np.int64)
+            for k, (d1, d2, i, row) in enumerate(zip(digests[:, 0].tolist(), digests[:, 1].tolist(), ids[chunks.rows].tolist(), chunks.rows.tolist(), strict=True)):
+                left, right = found.get((d1, d2, i, 0)), found.get((d1, d2, i, 1))
+                if left is not None and len(left) < MOST_PLACES:
+                    left.append(whole[max(offsets[row], starts[k] - CONTEXT) : starts[k]])
+                if right is not None and len(right) < MOST_PLACES:
+                    right.append(whole[ends[k] : min(offsets[row + 1], ends[k] + CONTEXT)])
+        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(list(found.values()), pa.list_(pa.binary()))], names=["d1", "d2", "side", "beside"])
+
+    replies = blocks.groupBy("block").cogroup(wanted.groupBy("holder")).applyInArrow(tidy(reply), "d1 long, d2 long, side int, beside array<binary>")
+    given = asking.select("block", "d1", "d2", "side").join(replies, ["d1", "d2", "side"])  # a chunk that many blocks ask for is a skewed key of a plain join
     told_all = told.unionByName(given, allowMissingColumns=True)
 
     def finish(held: pa.Table, told: pa.Table) -> pa.Table:
         rows = from_ipc(held.column("payload")[0].as_py())
-        is_place = told.column("sides").is_null()
+        is_place = told.column("side").is_null()
         found = Repeats(held.column("block")[0].as_py(), rows, told.filter(is_place))
         chunks, gone = found.chunks, found.gone(_contexts(told.filter(pc.invert(is_place))), least_run)
         n_removed, n_spans = removed_runs(gone, chunks.offsets)
