@@ -28,7 +28,8 @@ from .components import components
 from .shared import bytes_array, slices, staged, tidy
 
 #: Distinct fingerprints that a shard should hold; the tree has at least LEAST_DEPTH levels. SAMPLE rows for each leaf reach the driver.
-SHARD_ROWS, LEAST_DEPTH, MOST_DEPTH, SAMPLE = 1 << 17, 4, 12, 64
+#: Questions and members that one task takes; the pieces of a shard meet pair by pair.
+SHARD_ROWS, LEAST_DEPTH, SAMPLE, ASKED_ROWS, MEMBER_ROWS = 1 << 17, 4, 64, 1 << 17, 1 << 20
 _LANES = np.array([[(v >> j) & 1 for j in range(8)] for v in range(256)], np.uint8).view(np.uint64).ravel()
 
 
@@ -146,11 +147,14 @@ def pairs_within(members: np.ndarray, asked: np.ndarray, radius: int, found, cel
         stack += [(m[split], q[dq - radius <= r]), (m[~split], q[dq + radius > r])]
 
 
-def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """fps: distinct fingerprints (fp long). Returns links (a, b) that join just those fingerprints that are within the radius or chains of such."""
+def near_links(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, asked_rows: int = ASKED_ROWS) -> DataFrame:
+    """fps: distinct fingerprints (fp long). Returns links (a, b) that join just those fingerprints that are within the radius or chains of such.
+
+    The tree has a leaf for each shard_rows fingerprints, however many there are. A shard with over asked_rows questions is
+    searched by several tasks, each with all members and a share of the questions, and members beyond MEMBER_ROWS are shared out too."""
     n = fps.count()
-    depth = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(max(1, n) / SHARD_ROWS))))
-    share = min(1.0, 2**depth * SAMPLE / max(1, n))  # a bounded number of rows at any size
+    depth = max(LEAST_DEPTH, math.ceil(math.log2(max(1, n) / shard_rows)))
+    share = min(1.0, 2**depth * SAMPLE / max(1, n))  # SAMPLE rows for each leaf, so SAMPLE / shard_rows of the table
     drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).orderBy(F.xxhash64("fp")).limit(2**depth * SAMPLE)
     tree = shard_tree(np.array([r[0] for r in drawn.collect()], np.int64).view(np.uint64), depth)
 
@@ -163,24 +167,31 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
                 home = np.zeros(len(part), np.int64)
                 own_rows, own = tree_shards(part, tree, depth, 0)
                 home[own_rows] = own
-                yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(part[rows].view(np.int64)), pa.array(home[rows] == shards)], ["shard", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(part[rows].view(np.int64)), pa.array(home[rows] == shards)], ["shard", "fp", "home"])
 
     def search(part: pa.Table) -> pa.Table:
-        x = np.sort(part.column("fp").to_numpy().view(np.uint64))
-        members = np.sort(part.column("fp").to_numpy()[part.column("home").to_numpy()].view(np.uint64))
-        forest, place = Forest(len(x)), np.searchsorted(x, members)
+        x = np.unique(part.column("fp").to_numpy().view(np.uint64))
+        as_member = part.column("home").to_numpy(zero_copy_only=False)
+        members, asked = (np.sort(part.column("fp").to_numpy()[who].view(np.uint64)) for who in (as_member, ~as_member))
+        forest, of_member, of_asked = Forest(len(x)), np.searchsorted(x, members), np.searchsorted(x, asked)
 
         def found(i, j):
-            other = place[i] != j
-            if other.any():
-                forest.link(place[i][other], j[other])
+            a, b = of_member[i], of_asked[j]
+            if (a != b).any():
+                forest.link(a[a != b], b[a != b])
 
-        pairs_within(members, x, radius, found)
+        pairs_within(members, asked, radius, found)
         linked = np.flatnonzero(forest.label != np.arange(len(x)))
         return pa.table({"a": x[linked].view(np.int64), "b": x[forest.label[linked]].view(np.int64)})
 
-    dealt = fps.mapInArrow(tidy(deal), "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(tidy(search), "a long, b long")
+    dealt, _ = staged(fps.mapInArrow(tidy(deal), "shard long, fp long, home boolean"), "dealt")
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / asked_rows).alias("n_asked"), F.ceil(F.count_if("home") / MEMBER_ROWS).alias("n_members"))  # a row for each shard
+    held = dealt.join(sizes, "shard").where("n_members > 0")
+    coin = F.xxhash64("fp")
+    members = held.where("home").withColumns({"m": F.pmod(coin, "n_members"), "q": F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asked") - 1))})
+    asked = held.withColumns({"home": F.lit(False), "q": F.pmod(coin, "n_asked"), "m": F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_members") - 1))})
+    columns = ["shard", "q", "m", "fp", "home"]
+    return members.select(*columns).unionByName(asked.select(*columns)).groupBy("shard", "q", "m").applyInArrow(tidy(search), "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -192,10 +203,3 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     groups, _ = staged(named.join(least, "root").select("fp", "component_id"), "groups")
     return held.join(groups, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The document with the least doc_id of each group; a repeated doc_id counts as one document, a null one stays."""
-    groups = near_groups(docs, width, radius)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

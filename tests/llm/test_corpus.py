@@ -192,16 +192,16 @@ def test_simhash(docs, empty, rows):
     got = sorted((key((r.doc_id, r.component_id)), r.fp & (2**64 - 1)) for r in simhash.near_groups(docs).collect())
     assert got == want
     assert simhash.near_groups(empty).count() == 0
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {0, 3} and 8 not in {r.doc_id for r in kept.collect()}
 
 
-def test_near_pairs_lose_nothing(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_pairs_lose_nothing(spark, small):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     near = base[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64))
     x = np.unique(np.concatenate([base, near, near ^ np.uint64(6)]))
-    found = simhash.near_links(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long"))
+    table = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    found = simhash.near_links(table) if not small else simhash.near_links(table, shard_rows=8, asked_rows=20)
     got = {r.node: r.root for r in components(found).collect()}
     forest = simhash.Forest(len(x))
     i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
@@ -292,7 +292,9 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontamination.contained(empty, table).count() == 0
     assert decontamination.contained(docs, table.limit(0)).count() == 0
     kept = decontamination.keep_clean(docs, table)
-    assert kept.columns == docs.columns and not {i for i, _ in want if i is not None} & {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and sorted((key((r.doc_id,)), r.text or "") for r in kept.collect()) == sorted((key((i,)), t or "") for i, t, *_ in rows if (i, t) not in {(i, t) for i, t, *_ in rows if any(n and (a := grams(x, n)) and len(a & grams(t, n)) >= 0.8 * len(a) for _, x in items for n in [min(5, len((x or "").split()))])})
+    twins = spark.createDataFrame([(None, items[0][1]), (7, items[0][1]), (7, "a clean text of seven words here"), (None, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontamination.keep_clean(twins, table, item_bytes=200).collect()} == {(7, "a clean text of seven words here"), (None, None)}
 
 
 def test_quality(spark, empty):
@@ -408,7 +410,10 @@ def test_near_duplicates_of_the_pipeline(spark, docs, empty, rows):
     gone = {i[1] for i, c in near_brute(planted) if i[0] and c != i}
     kept = corpus_pipeline.near_deduped(spark, spark.createDataFrame(planted, SCHEMA), "")
     assert gone and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [i for i, *_ in planted if i is not None and i not in gone]
-    assert neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(empty).count() == 0
+    assert neardup.keep_one(docs.withColumn("__key0", F.lit(1))).columns == [*docs.columns, "__key0"] and neardup.keep_one(empty).count() == 0
+    same_id = [(1, rows[0][1]), (1, rows[1][1]), (1, rows[1][1]), (None, rows[2][1]), (None, rows[1][1]), (2, rows[2][1]), (3, None), (4, "")]
+    kept = neardup.keep_one(spark.createDataFrame(same_id, "doc_id long, text string").coalesce(1))
+    assert sorted((key((r.doc_id,)), r.text or "") for r in kept.collect()) == sorted((key((i,)), t or "") for i, t in (same_id[0], same_id[1], same_id[5], same_id[6]))
 
 
 def test_items_of_few_shingles_are_never_missed():
