@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, ragged, removed_runs, span_hashes, staged, text_bytes, tidy, unpack_planes, without
 
 LENGTH, GRAM, BLOCK_TEXT, BUCKET_TEXT = 50, 16, 2 << 20, 4 << 20
+KEY_BITS, HELD_ROWS = 48, 1 << 21
 
 
 def words_at(data: np.ndarray, big: bool = False) -> np.ndarray:
@@ -167,26 +168,52 @@ def least_ids(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.
 
 
 def _shared_keys(blocks: DataFrame, length: int, gram: int) -> DataFrame:
-    """For each block the places of its keys that another block has too; a row for each distinct key of a block is exchanged."""
+    """For each block the places of its keys that another block has too, packed, in several rows.
+
+    A row for each distinct key of a block is exchanged, of KEY_BITS bits: a chance match only makes a candidate more. What goes
+    back is gathered by block, HELD_ROWS at a time."""
 
     def run(batches):
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 rows = from_ipc(payload.as_py())
                 keys, _, _ = Grams(rows.column("text"), doc_ids(rows.column("doc_id")), length, gram).distinct()
-                keys = keys.view(np.int64)
+                keys = (keys >> np.uint64(64 - KEY_BITS)).view(np.int64)
                 for at in range(0, len(keys), 1 << 16):
                     own = keys[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block)), pa.array(np.arange(at, at + len(own), dtype=np.int32))], ["key", "block", "place"])
 
+    def gathered(blocks: list, places: list) -> pa.RecordBatch:
+        block, place = np.concatenate(blocks), np.concatenate(places)
+        order = np.lexsort((place, block))
+        block, place = block[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        packed = [pack_planes(np.diff(x, prepend=np.int32(0))) for x in np.split(place, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(packed, pa.binary())], ["block", "places"])
+
+    def gather(batches):
+        blocks, places, n = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                blocks.append(batch.column("block").to_numpy())
+                places.append(batch.column("place").to_numpy())
+                n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield gathered(blocks, places)
+                blocks, places, n = [], [], 0
+        if n:
+            yield gathered(blocks, places)
+
     asked = blocks.mapInArrow(tidy(run), "key long, block long, place int")
-    return asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("block", "place")
+    shared = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("block", "place")
+    return shared.mapInArrow(tidy(gather), "block long, places binary")
 
 
 def _known(told: pa.Table, local: np.ndarray) -> np.ndarray:
     """Which of a block's keys two or more documents have."""
     known = local.copy()
-    known[told.column("place").drop_null().to_numpy()] = True
+    for places in told.column("places").drop_null().to_pylist():
+        known[np.cumsum(unpack_planes(places, np.int32))] = True
     return known
 
 
@@ -272,7 +299,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (with_text: and the kept bytes)."""
     buckets = parts_for(text_bytes(docs), BUCKET_TEXT, 32)
     blocks, _ = staged(packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BLOCK_TEXT), "blocks")
-    told = _shared_keys(blocks, length, gram)
+    told, _ = staged(_shared_keys(blocks, length, gram), "shared")
     least = _resolved(_strings(blocks, told, buckets, length, gram), length)
     both = told.unionByName(least, allowMissingColumns=True)
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
