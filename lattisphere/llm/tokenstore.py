@@ -21,11 +21,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _planes, _ranks
-from .shared import buffer_of, bytes_array, mix, new_path, ragged, slices, tidy
+from .shared import bytes_array, mix, new_path, slices, tidy, unpack_planes
 from .wordbpe import coder, joined
 
 #: Text of one part, and sampled rows for each; parts that are summed at once in the manifest; the end id; least, mean and most ids of a chunk.
@@ -115,23 +116,32 @@ def _encoded(docs: DataFrame, path: str, cuts: list) -> DataFrame:
     """A row for each document: its part, key and ids."""
 
     def run(batches):
-        tool, end = coder(path), np.array([END], _kind(path)).tobytes()
+        tool, kind = coder(path), _kind(path)
+        end = np.array([END], kind).tobytes()
         for batch in batches:
             for piece in slices(batch):
                 texts = piece.column("text")
                 coded, counts = tool.split(texts)
-                values = [w.astype(_kind(path)).tobytes() for w in tool.cached(coded.dictionary.to_pylist())]
+                values = tool.cached(coded.dictionary.to_pylist(), "H" if kind == "<u2" else "I")
                 data, at = joined(values, coded.indices.to_numpy())
                 edges = at[np.concatenate([[0], np.cumsum(counts)])].tolist()
                 ids, salts = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "salt"))
                 crcs = np.fromiter((zlib.crc32(x) for x in bytes_array(texts).to_pylist()), np.int64, len(ids))
                 whole = memoryview(data.tobytes())
-                packed = [b"".join((whole[a:b], end)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                packed = [_pack(np.frombuffer(b"".join((whole[a:b], end)), kind)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(parts_of(cuts, ids, crcs, salts)), pa.array(ids), pa.array(crcs), pa.array(packed, pa.binary())], ["part", "doc_id", "crc", "ids"])
 
     return _keyed(docs).mapInArrow(tidy(run), "part long, doc_id long, crc long, ids binary")
 
 
+_PACKER = zstandard.ZstdCompressor(level=1)
+
+
+def _pack(ids: np.ndarray) -> bytes:
+    """As pack_planes, with one compressor for all documents."""
+    return _PACKER.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, ids.dtype.itemsize).T))
+
+
 def _kind(path: str) -> str:
     """Ids take two bytes where the vocabulary allows."""
     tool = coder(path)
@@ -143,12 +153,11 @@ class Part:
 
     def __init__(self, rows: pa.Table, kind: str):
         ids, crcs = rows.column("doc_id").to_numpy(), rows.column("crc").to_numpy()
-        data, offsets = buffer_of(rows.column("ids"))
-        sizes = np.diff(offsets)
+        each = [unpack_planes(x, kind) for x in rows.column("ids").to_pylist()]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
         order = np.lexsort((sizes, crcs, ids))
-        taken = data[ragged(offsets[:-1][order], sizes[order])]
-        self.ids, self.sizes = ids[order], sizes[order] // np.dtype(kind).itemsize
-        self.flat = taken.view(kind).astype("<u4")
+        self.ids, self.sizes = ids[order], sizes[order]
+        self.flat = np.concatenate([each[k] for k in order.tolist()]).astype("<u4")
         self.ends = chunk_ends(self.flat, np.cumsum(self.sizes))
         starts = np.concatenate([[0], self.ends[:-1]])
         data = memoryview(self.flat.tobytes())
@@ -286,12 +295,11 @@ def read_store(spark, out: str, with_ids: bool = False) -> DataFrame:
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids
 
     def rebuild(held: pa.Table, given: pa.Table) -> pa.Table:
-        if not held.num_rows:
-            raise ValueError(f"part {given.column('part')[0].as_py()}: asked for chunks without being there")
-        row = held.to_pylist()[0]
-        if held.num_rows > 1 or row["recipe"] is None or row["told"] is None:
-            raise ValueError(f"part {row['part']}: it is not once in the store and once in the manifest")
-        found = _own_chunks(row)
+        listed = given.filter(given.column("told").is_valid())
+        if held.num_rows != 1 or listed.num_rows != 1:
+            raise ValueError(f"part {(held if held.num_rows else given).column('part')[0].as_py()}: it is not once in the store and once in the manifest")
+        row = {**held.to_pylist()[0], "start": listed.column("start")[0].as_py(), "told": listed.column("told")[0].as_py()}
+        found, given = _own_chunks(row), given.filter(given.column("body").is_valid())
         for d1, d2, body in zip(given.column("d1").to_pylist(), given.column("d2").to_pylist(), given.column("body").to_pylist(), strict=True):
             d, body = np.array([d1, d2], "<i8").tobytes(), _wide(body)
             if digest(body) != d:
@@ -315,9 +323,9 @@ def read_store(spark, out: str, with_ids: bool = False) -> DataFrame:
 
     asked = parts.where(F.octet_length("foreign") > 0).select("part", "foreign").mapInArrow(tidy(ask), "part long, d1 long, d2 long")
     given = asked.join(chunks, ["d1", "d2"])  # a chunk that many parts share is a skewed key of a plain join
-    full = parts.drop("root").join(manifest.select("part", "start", F.col("root").alias("told")), "part", "full")
+    given = given.unionByName(manifest.select("part", "start", F.col("root").alias("told")), allowMissingColumns=True)
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return full.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(tidy(rebuild), fields)
+    return parts.drop("root").groupBy("part").cogroup(given.groupBy("part")).applyInArrow(tidy(rebuild), fields)
 
 
 def round_trip(docs: DataFrame, path: str, out: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ tokenizers library does the rest. Either way the ids of a text are the ids of it
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +34,28 @@ def byte_letters() -> dict[int, str]:
 class WordCoder:
     """Ids of single pieces, by the tokenizers library."""
 
-    def __init__(self, path: str, held: int = 400_000):
+    def __init__(self, path: str, held: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model, self.letters, self.held = self.tokenizer.model, byte_letters(), held
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(self, piece: str) -> np.ndarray:
+    def encode(self, piece: str) -> list[int]:
         if piece.startswith(MARK):
-            return np.array(self.tokenizer.encode(piece[1:], add_special_tokens=False).ids, "<u4")
-        seen = "".join(map(self.letters.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(seen)], "<u4")
+            return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
+        letters = self.letters
+        return [t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))]
 
-    def cached(self, pieces: list[str]) -> list[np.ndarray]:
+    def cached(self, pieces: list[str], kind: str) -> list[bytes]:
+        """The ids of each piece as bytes of that kind (an array's type code)."""
         known = self.known
         if len(known) > self.held:
             known.clear()
-        return [known[p] if p in known else known.setdefault(p, self.encode(p)) for p in pieces]
+        return [known[p] if p in known else known.setdefault(p, array(kind, self.encode(p)).tobytes()) for p in pieces]
 
     def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The pieces of all texts, dictionary-encoded, and the number of pieces of each text."""
