@@ -1,10 +1,11 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Spark splits the texts into words, block by block; each block names its distinct words once, the commonest first, and keeps,
-for every position, the rank of its word. The distinct words of all blocks are rows, sorted by word, so that each word is
-encoded once as they stream by; the ids go back to the blocks, where they join the positions, and an id-to-piece join gives
-the decoded text. A row for each distinct word of a block is what is exchanged beside the packed ranks: that grows with the
-text, and a word in every text weighs no more than a rare one.
+Spark splits the texts into words, block by block; each block names its distinct words once and keeps, for every position,
+the rank of its word. The words of all blocks meet in buckets by hash, where each distinct word is encoded once; the ids
+go back to the blocks, where they join the positions, and an id-to-piece join gives the decoded text. What is shuffled is
+each block's distinct words and the packed ranks, so a word in every text weighs no more than a rare one. Each block sends one
+packed row to each bucket that it has words for, at most one row for each of its distinct words. (A row for each distinct word of
+a block, sorted by word, needs no buckets, but a block of 12 MB has some 300,000 of them, and such rows took twice the disk.)
 
 Null and empty texts, and texts of white space only, have no ids and decode to the empty text. Every row gives one row,
 repeated or null doc_id or not; other columns are ignored.
@@ -13,6 +14,7 @@ repeated or null doc_id or not; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, from_ipc, slices, staged, tidy, to_ipc
+from .shared import buffer_of, parts_for, slices, span_hashes, staged, text_bytes, tidy
 from .wordbpe import coder
 
-#: Text that shares one table of words.
-BLOCK_TEXT = 12 << 20
+#: Text that shares one table of words, and text for each bucket of words.
+BLOCK_TEXT, BUCKET_TEXT = 12 << 20, 32 << 20
 #: Words that are joined to their ids and pieces at once, whole texts at a time.
 WORDS_AT_ONCE = 1 << 17
 
@@ -41,56 +43,86 @@ def _ranks(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _split(docs: DataFrame, path: str, most: int) -> DataFrame:
-    """For each block its ids, the number of words of each text, the ranks of all words, and the distinct words in rank order."""
+_KIND = "block long, bucket int, ids array<long>, counts array<int>, packed binary"
+
+
+def _split(docs: DataFrame, path: str, buckets: int, most: int) -> DataFrame:
+    """Rows of two kinds: bucket -1 holds a block's ids, words of each text and ranks; the others its distinct words of that bucket, in rank order."""
 
     def run(batches):
         first, n, tool = TaskContext.get().partitionId() << 32, 0, coder(path)
         for batch in batches:
             for piece in slices(batch, most=most):
                 coded, counts = tool.split(piece.column("text"))
-                codes = coded.indices.to_numpy()
-                order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                words = to_ipc(pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(order))], ["word"]))
-                row = ([first + n], [piece.column("doc_id").to_pylist()], [counts.tolist()], [_planes(rank[codes])], [words])
+                codes, words = coded.indices.to_numpy(), coded.dictionary
+                data, offsets = buffer_of(words)
+                home = (span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
+                seen = np.bincount(codes, minlength=len(words))
+                order = np.lexsort((-seen, home))  # by bucket, in each the commonest first
+                rank_in = np.empty(len(words), np.int64)
+                sizes = np.bincount(home, minlength=buckets)
+                rank_in[order] = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                rank = np.empty(len(words), np.int64)
+                rank[np.lexsort((home, rank_in))] = np.arange(len(words))
+                block = first + n
                 n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()), strict=True)], ["block", "ids", "counts", "packed", "words"])
+                rows = [(block, -1, piece.column("doc_id").to_pylist(), counts.tolist(), _planes(rank[codes]))]
+                listed = words.take(pa.array(order)).to_pylist()
+                ends = np.cumsum(sizes)
+                for k in np.flatnonzero(sizes):
+                    own = listed[ends[k] - sizes[k] : ends[k]]
+                    at = rank[order[ends[k] - sizes[k] : ends[k]]]
+                    rows.append((block, int(k), None, None, zstandard.compress("\n".join(own).encode(), 3) + _tail(_planes(np.diff(at, prepend=0)))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], ["block", "bucket", "ids", "counts", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "block long, ids array<long>, counts array<int>, packed binary, words binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), _KIND)
 
 
-def _encode_words(held: DataFrame, path: str) -> DataFrame:
-    """block, rank and ids of every distinct word of every block; equal words follow one another and are encoded once."""
+def _tail(blob: bytes) -> bytes:
+    return blob + len(blob).to_bytes(8, "little")
+
+
+def _two(packed: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(packed[-8:], "little")
+    return packed[: -8 - n], packed[-8 - n : -8]
+
+
+def _words(packed: bytes) -> tuple[list[str], bytes]:
+    words, ranks = _two(packed)
+    return zstandard.decompress(words).decode().split("\n"), ranks
+
+
+def _encode_words(words: DataFrame, path: str) -> DataFrame:
+    """For each block and bucket the ids of its words; a distinct word is encoded once."""
+
+    def run(part: pa.Table) -> pa.Table:
+        tool, known, out = coder(path), {}, []
+        for packed in part.column("packed"):
+            own, ranks = _words(packed.as_py())
+            ids = [known[w] if w in known else known.setdefault(w, array("I", tool.encode(w)).tobytes()) for w in own]
+            sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+            out.append(_tail(ranks) + _tail(_planes(sizes)) + _tail(_planes(np.frombuffer(b"".join(ids), "<u4"))))
+        return pa.table({"block": part.column("block"), "coded": pa.array(out, pa.binary())})
+
+    return words.groupBy("bucket").applyInArrow(tidy(run), "block long, coded binary")
 
-    def name(batches):
-        for batch in batches:
-            for block, words in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
-                found = from_ipc(words.as_py()).column("word")
-                for at in range(0, len(found), 1 << 15):
-                    part = found.slice(at, 1 << 15)
-                    yield pa.RecordBatch.from_arrays([part.cast(pa.string()), pa.repeat(pa.scalar(block, pa.int64()), len(part)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["word", "block", "rank"])
-
-    def encode(batches):
-        tool, last, kept = coder(path), None, None
-        for batch in batches:
-            words = batch.column("word").dictionary_encode()
-            each = [kept if w == last else tool.encode(w) for w in words.dictionary.to_pylist()]
-            if each:
-                last, kept = words.dictionary[-1].as_py(), each[-1]
-            ids = pa.array([w.tobytes() for w in each], pa.binary()).take(words.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("rank"), ids], ["block", "rank", "ids"])
 
-    named = held.select("block", "words").mapInArrow(tidy(name), "word string, block long, rank int")
-    return named.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(encode), "block long, rank int, ids binary")
+def _table_of(coded: list[bytes]) -> list[np.ndarray]:
+    """Ids of a block's words by rank."""
+    ids: dict[int, np.ndarray] = {}
+    for blob in coded:
+        rest, flat = _two(blob)
+        ranks, sizes = map(_ranks, (_two(rest)[0][:-8], _two(rest)[1]))
+        ids.update(zip(np.cumsum(ranks).tolist(), np.split(_ranks(flat), np.cumsum(sizes)[:-1]), strict=True))
+    return [ids[k] for k in range(len(ids))]
 
 
 def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256; extra: also ids, decoded."""
-    held, _ = staged(_split(docs, path, block_text), "words")
-    coded = _encode_words(held, path)
-    blocks = held.select("block", "ids", "counts", "packed")
+    buckets = parts_for(text_bytes(docs), BUCKET_TEXT, 32)
+    held, _ = staged(_split(docs, path, buckets, block_text), "words")
+    coded = _encode_words(held.where("bucket >= 0").select("block", "bucket", "packed"), path)
+    blocks = held.where("bucket < 0").select("block", "ids", "counts", "packed")
     kinds = {"ids": "array<int>", "decoded": "string"}
     fields = ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *(f"{c} {kinds[c]}" for c in kinds if c in extra)])
 
@@ -98,12 +130,12 @@ def encode_decode(docs: DataFrame, path: str, block_text: int = BLOCK_TEXT, extr
         if not left.num_rows:
             return _arrow(extra).empty_table()
         tool = coder(path)
-        plain = right.column("ids").combine_chunks().take(pa.array(np.argsort(right.column("rank").to_numpy()))).cast(pa.large_binary())
-        pieces, flat = _pieces(tool), buffer_of(plain)
-        each, edges = [pieces[i] for i in flat[0].view("<u4").tolist()], (flat[1] // 4).tolist()  # the id-to-piece join
-        shown = [b" ".join(each[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        words = _table_of(right.column("coded").to_pylist())
+        pieces = _pieces(tool)
+        shown = [b" ".join([pieces[i] for i in w.tolist()]) for w in words]  # the id-to-piece join
         shown = pa.array([x + b" " if x else x for x in shown], pa.large_binary())
-        del each
+        plain = pa.array([w.tobytes() for w in words], pa.large_binary())
+        del words
         out, all_ids, all_text = [], [], []
         for doc_ids, counts, packed in zip(left.column("ids").to_pylist(), left.column("counts").to_pylist(), left.column("packed").to_pylist(), strict=True):
             ranks, edges = _ranks(packed), np.cumsum([0, *counts])
