@@ -5,7 +5,7 @@ the rank of its word. The words of all blocks meet in buckets by hash, where eac
 go back to the blocks, where they join the positions, and an id-to-piece join gives the decoded text. What is shuffled is
 each block's distinct words and the packed ranks, so a word in every text weighs no more than a rare one. Each block sends one
 packed row to each bucket that it has words for, at most one row for each of its distinct words. (A row for each distinct word of
-a block, sorted by word, needs no buckets, but a block of 12 MB has some 300,000 of them, and such rows took twice the disk.)
+a block, sorted by word, needs no buckets, but a block of 12 MB has some 190,000 of them, and such rows took twice the disk.)
 
 Null and empty texts, and texts of white space only, have no ids and decode to the empty text. Every row gives one row,
 repeated or null doc_id or not; other columns are ignored.

@@ -130,6 +130,7 @@ def _encoded(docs: DataFrame, path: str, cuts: list) -> DataFrame:
                 whole = memoryview(data.tobytes())
                 packed = [_pack(np.frombuffer(b"".join((whole[a:b], end)), kind)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(parts_of(cuts, ids, crcs, salts)), pa.array(ids), pa.array(crcs), pa.array(packed, pa.binary())], ["part", "doc_id", "crc", "ids"])
+        tool.known.clear()  # the worker goes on to other stages
 
     return _keyed(docs).mapInArrow(tidy(run), "part long, doc_id long, crc long, ids binary")
 
@@ -179,7 +180,7 @@ _MANIFEST = "part long, n_ids long, n_docs long, root binary, start long"
 
 
 def write_store(docs: DataFrame, path: str, out: str, part_text: int = PART_TEXT) -> None:
-    """Writes the store of all documents: out/store (kind=0: parts, kind=1: chunks that several parts share), out/manifest, out/corpus."""
+    """Writes the store of all documents: out/store (rows of kind 0: parts, of kind 1: chunks that several parts share), out/manifest, out/corpus."""
     spark = docs.sparkSession
     cuts = _cuts(docs, part_text)
     rows = _encoded(docs, path, cuts)
@@ -216,19 +217,12 @@ def write_store(docs: DataFrame, path: str, out: str, part_text: int = PART_TEXT
     same = Window.partitionBy("d1", "d2")
     told = asked.withColumns({"owner": F.min("part").over(same), "last": F.max("part").over(same)}).where("owner < last").drop("last")
     parts = rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(tidy(store), f"kind int, {_PART}, {_CHUNK}")
-    parts.write.option("compression", "zstd").partitionBy("kind").parquet(f"{out}/store")
+    parts.write.option("compression", "zstd").parquet(f"{out}/store")
     _write_manifest(spark, out)
 
 
-def _read(spark, out: str, kind: int, schema: str) -> DataFrame:
-    if not _exists(spark, f"{out}/store/kind={kind}"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{out}/store/kind={kind}")
-
-
-def _exists(spark, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def _read(spark, out: str, kind: int, columns: str) -> DataFrame:
+    return spark.read.schema(f"kind int, {_PART}, {_CHUNK}").parquet(f"{out}/store").where(F.col("kind") == kind).select(*[c.split()[0] for c in columns.split(", ")])
 
 
 def _narrow(body: bytes) -> bytes:

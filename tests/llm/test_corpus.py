@@ -124,24 +124,27 @@ def rewritten(spark, path, change):
 def test_store_tells_changes(spark, tmp_path):
     base = tmp_path / "whole"
     small_store(spark, f"file://{base}")
-    zero = lambda r, c: r.__class__(**{**r.asDict(), c: bytes(len(r[c]))})
+    new = lambda r, **values: r.__class__(**{**r.asDict(), **values})
 
-    def changed(name, change, *where):
+    def changed(name, change, where="store"):
         out = tmp_path / name
         shutil.copytree(base, out)
-        rewritten(spark, f"file://{out.joinpath(*where)}", change)
+        rewritten(spark, f"file://{out / where}", change)
         with pytest.raises(Exception) as told:
             tokenstore.read_store(spark, f"file://{out}").collect()
         return str(told.value)
 
-    assert "not once in the store" in changed("lost part", lambda rows: [r for r in rows if r.part != 3], "store", "kind=0")
-    assert "not once in the store" in changed("part twice", lambda rows: [*rows, rows[0]], "store", "kind=0")
-    assert "chunk is gone" in changed("lost chunk", lambda rows: [], "store", "kind=1")
-    assert "shared chunk differs" in changed("changed chunk", lambda rows: [r.__class__(**{**r.asDict(), "body": bytes([2]) + bytes(len(r.body) - 1)}) for r in rows], "store", "kind=1")
-    body = tokenstore._planes
-    assert "differs from its digest" in changed("changed body", lambda rows: [r.__class__(**{**r.asDict(), "bodies": body(np.zeros(sum(r.own_sizes), "<u4"))}) for r in rows], "store", "kind=0")
-    assert "Merkle root" in changed("changed recipe", lambda rows: [r.__class__(**{**r.asDict(), "recipe": bytes(r.recipe[16 * r.chunks[0] :]) + bytes(r.recipe[: 16 * r.chunks[0]]), "ids": r.ids[1:] + r.ids[:1], "sizes": r.sizes[1:] + r.sizes[:1], "chunks": r.chunks[1:] + r.chunks[:1]}) for r in rows], "store", "kind=0")
-    assert "corpus root" in changed("changed manifest", lambda rows: [zero(r, "root") for r in rows], "manifest")
+    def of_kind(k, change):
+        return lambda rows: [y for r in rows for y in (change(r) if r.kind == k else [r])]
+
+    assert "not once in the store" in changed("lost part", of_kind(0, lambda r: [r] * (r.part != 3)))
+    assert "not once in the store" in changed("part twice", of_kind(0, lambda r: [r] * (1 + (r.part == 3))))
+    assert "chunk is gone" in changed("lost chunk", of_kind(1, lambda r: []))
+    assert "shared chunk differs" in changed("changed chunk", of_kind(1, lambda r: [new(r, body=bytes([2]) + bytes(len(r.body) - 1))]))
+    assert "differs from its digest" in changed("changed body", of_kind(0, lambda r: [new(r, bodies=tokenstore._planes(np.zeros(sum(r.own_sizes), "<u4")))]))
+    swapped = lambda r: [new(r, recipe=bytes(r.recipe[16 * r.chunks[0] :]) + bytes(r.recipe[: 16 * r.chunks[0]]), ids=r.ids[1:] + r.ids[:1], sizes=r.sizes[1:] + r.sizes[:1], chunks=r.chunks[1:] + r.chunks[:1])]
+    assert "Merkle root" in changed("changed recipe", of_kind(0, swapped))
+    assert "corpus root" in changed("changed manifest", lambda rows: [new(r, root=bytes(16)) for r in rows], "manifest")
     assert "corpus root" in changed("lost manifest row", lambda rows: rows[1:], "manifest")
 
 
