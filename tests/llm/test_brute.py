@@ -29,7 +29,7 @@ def plain_cuts(b: bytes) -> list[int]:
 def plain_dedup(rows, least_run=100):
     """The bytes of each text that stay; doc_ids must differ but for null ones."""
     data = [((LARGE if i is None else i), (t or "").encode()) for i, t, *_ in rows]
-    chunks = [[(a, e) for a, e in zip([0, *cuts[:-1]], cuts, strict=True)] for cuts in (plain_cuts(b) for _, b in data)]
+    chunks = [[(a, e) for a, e in zip([0, *cuts], cuts, strict=False)] for cuts in (plain_cuts(b) for _, b in data)]
     places: dict[bytes, dict[int, list]] = {}
     for (i, b), own in zip(data, chunks, strict=True):
         for a, e in own:
