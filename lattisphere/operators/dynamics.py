@@ -220,3 +220,12 @@ def frame_window(atoms: DataFrame, start: int = 0, end: int = -1) -> DataFrame:
     """Frames start to end - 1; an end that is negative or too large means all."""
     held = atoms.where(F.col("frame") >= start)
     return held if end < 0 else held.where(F.col("frame") < end)
+
+
+def frame_at(atoms: DataFrame, index: int) -> DataFrame:
+    """One frame by its place, from the last one where the index is negative. Raises IndexError beyond the ends."""
+    n = atoms.agg(F.max("frame")).first()[0]
+    n = 0 if n is None else n + 1
+    if not -n <= index < n:
+        raise IndexError(f"frame {index} of {n}")
+    return atoms.where(F.col("frame") == index % n)

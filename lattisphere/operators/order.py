@@ -129,17 +129,27 @@ def local_entropy(atoms: DataFrame, frames: DataFrame, cutoff: float = 5.0, sigm
 
 
 def density_grid(atoms: DataFrame, frames: DataFrame, dr: float = 0.5, most: int = 1_000_000) -> DataFrame:
-    """frame, key (element), ix, iy, iz, n, density: atoms in voxels of max(0.5, dr) or less; frames of more than `most` voxels are left out. frames needs volume."""
+    """frame, key (element), ix, iy, iz, voxel (their number, iz fastest), n, density: atoms in voxels of max(0.5, dr) or less; frames of more than `most` voxels are left out (frames_without_grid names them). frames needs volume."""
     dx = max(0.5, dr)
-    sides = frames.select("frame", "volume", *[c for c in frames.columns if len(c) == 2 and c[0] in "abc" and c[1] in "xyz"])
-    lengths = [norm(tuple(F.col(f"{v}{k}") for k in "xyz")) for v in "abc"]
-    sides = sides.withColumns({f"n{k}": F.greatest(F.lit(1), F.ceil(lengths[k] / dx)).cast("long") for k in range(3)}).where(F.col("n0") * F.col("n1") * F.col("n2") <= most)
+    sides = _voxels(frames, dx).where(F.col("n0") * F.col("n1") * F.col("n2") <= most)
     held = atoms.join(sides, "frame")
     f = fractional(tuple(F.col(k) for k in "xyz"))
     at = [F.least(F.col(f"n{k}") - 1, F.floor((f[k] - F.floor(f[k])) * F.col(f"n{k}"))).cast("long").alias(c) for k, c in enumerate(("ix", "iy", "iz"))]
     voxel = (F.col("volume") / (F.col("n0") * F.col("n1") * F.col("n2"))).alias("dv")
-    counts = held.select("frame", F.col("element").alias("key"), *at, voxel).groupBy("frame", "key", "ix", "iy", "iz").agg(F.count("*").alias("n"), F.first("dv").alias("dv"))
-    return counts.select("frame", "key", "ix", "iy", "iz", "n", (F.col("n") / F.col("dv")).alias("density"))
+    counts = held.select("frame", F.col("element").alias("key"), *at, voxel, "n1", "n2").groupBy("frame", "key", "ix", "iy", "iz").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("dv", "n1", "n2")])
+    return counts.select("frame", "key", "ix", "iy", "iz", ((F.col("ix") * F.col("n1") + F.col("iy")) * F.col("n2") + F.col("iz")).alias("voxel"), "n", (F.col("n") / F.col("dv")).alias("density"))
+
+
+def _voxels(frames: DataFrame, dx: float) -> DataFrame:
+    """frame, volume and lattice with the voxels along each vector (n0, n1, n2)."""
+    sides = frames.select("frame", "volume", *[c for c in frames.columns if len(c) == 2 and c[0] in "abc" and c[1] in "xyz"])
+    lengths = [norm(tuple(F.col(f"{v}{k}") for k in "xyz")) for v in "abc"]
+    return sides.withColumns({f"n{k}": F.greatest(F.lit(1), F.ceil(lengths[k] / dx)).cast("long") for k in range(3)})
+
+
+def frames_without_grid(frames: DataFrame, dr: float = 0.5, most: int = 1_000_000) -> DataFrame:
+    """The frames that density_grid leaves out, with their voxels."""
+    return _voxels(frames, max(0.5, dr)).select("frame", (F.col("n0") * F.col("n1") * F.col("n2")).alias("voxels")).where(F.col("voxels") > most)
 
 
 #: A low-discrepancy sequence in three dimensions: powers of the inverse of the root of x^4 = x + 1.

@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.geometry import LATTICE, cartesian, dot, fractional, vectors, widths
 
 
+CROWD = 16
+
+
 def grid(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataFrame:
     """Atoms with their lattice, wrapped fractional coordinates f1 f2 f3, bins b1 b2 b3 of nb1 nb2 nb3, and the reach of the cutoff in bins."""
     cells = frames.select("frame", *LATTICE)
     w = widths()
     cells = cells.withColumns({f"nb{k + 1}": F.greatest(F.lit(1), F.floor(w[k] / cutoff)).cast("long") for k in range(3)})
+    # crowded bins are cut finer, so that no bin is a key with most of a frame: CROWD atoms in a bin on average, four cuts a side at most
+    n = atoms.groupBy("frame").agg(F.count("*").alias("n"))
+    crowd = F.least(F.lit(4), F.greatest(F.lit(1), F.ceil(F.cbrt(F.col("n") / (F.col("nb1") * F.col("nb2") * F.col("nb3") * CROWD)))))
+    cells = cells.join(n, "frame").withColumn("cuts", crowd).withColumns({f"nb{k}": F.col(f"nb{k}") * F.col("cuts") for k in (1, 2, 3)}).drop("n", "cuts")
     cells = cells.withColumns({f"reach{k + 1}": F.ceil(F.lit(float(cutoff)) * F.col(f"nb{k + 1}") / w[k]).cast("long") for k in range(3)})
     held = atoms.join(cells, "frame")
     f = fractional(tuple(F.col(k) for k in "xyz"))

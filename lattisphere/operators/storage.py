@@ -6,22 +6,31 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict = {}
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir (a temporary folder where it is unset) and read back."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A path under spark.checkpoint.dir that goes when the session ends; where it is unset, under a temporary folder of a local session.
+
+    Raises RuntimeError on a cluster without it, whose executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = tempfile.TemporaryDirectory()
             atexit.register(_OWN["dir"].cleanup)
         base = f"file://{_OWN['dir'].name}"
     path = f"{base.rstrip('/')}/structures/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

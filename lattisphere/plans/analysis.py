@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from functools import cached_property
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import elements as el
@@ -32,6 +32,7 @@ class Options:
     kernel: str = "gaussian"
     wavelength: float = 1.5406
     xrd_from: str = "S"  # or "g": from structure factors or from weighted partials
+    model_cutoff: float = 5.0
     start: int = 0
     end: int = -1
     ignore_self: bool = True
@@ -71,7 +72,7 @@ def delete_preset(name: str, folder: str | None = None) -> None:
     (_presets(folder) / f"{name}.json").unlink()
 
 
-MATERIALS = {"amorphous": Options(r_max=20.0, angle_width=1.0, sigma=0.1), "liquid": Options(r_max=15.0, sigma=0.15), "crystalline": Options(r_max=25.0, dr=0.01, sigma=0.05)}
+MATERIALS = {"amorphous": Options(), "liquid": Options(dr=0.05, dq=0.05, angle_width=0.5, sigma=0.15), "crystalline": Options(dr=0.002, dq=0.002, angle_width=0.1, sigma=0.01)}
 
 
 @dataclass(frozen=True)
@@ -111,10 +112,10 @@ def get_calculator(name: str) -> Calculator:
 
 
 class Analysis:
-    """frames and atoms with what is built on them; pairs are found once and kept for all calculators."""
+    """frames and atoms with what is built on them; bonds are found once and kept for all calculators."""
 
-    def __init__(self, frames: DataFrame, atoms: DataFrame, options: Options | None = None):
-        self.options = options or Options()
+    def __init__(self, frames: DataFrame, atoms: DataFrame, options: Options | None = None, model=None):
+        self.options, self.model = options or Options(), model
         self.all_atoms, self.all_frames = atoms, frames
         self.atoms = dynamics.frame_window(atoms, self.options.start, self.options.end)
         self.frames = dynamics.frame_window(frames, self.options.start, self.options.end)
@@ -129,19 +130,16 @@ class Analysis:
         own = el.custom_cutoffs(spark, {tuple(k.split("-")): tuple(v) for k, v in self.options.bond_ranges.items()})
         return table.join(own, ["e1", "e2"], "left_anti").unionByName(own)
 
-    @cached_property
-    def reach(self) -> float:
-        """r_max, or the largest bond length where that is more."""
-        longest = self.cutoffs.agg(F.sqrt(F.max("max_sq"))).first()[0] or 0.0
-        return max(self.options.r_max, longest + 1e-6)
-
     @cached_property
     def pairs(self) -> DataFrame:
-        return pairs.periodic_pairs(self.atoms, self.frames, self.reach, self.options.ignore_self).persist()
+        """Pairs closer than r_max: some thousands for an atom, so they are counted as they are found and never kept."""
+        return pairs.periodic_pairs(self.atoms, self.frames, self.options.r_max, self.options.ignore_self)
 
     @cached_property
     def bonds(self) -> DataFrame:
-        return pairs.bonds(self.pairs, self.cutoffs).persist()
+        """Bonds, by a search of their own within the longest bond: some ten for an atom, kept for all calculators."""
+        longest = self.cutoffs.agg(F.sqrt(F.max("max_sq"))).first()[0] or 0.0
+        return pairs.bonds(pairs.periodic_pairs(self.atoms, self.frames, longest + 1e-6, self.options.ignore_self), self.cutoffs).persist()
 
     @cached_property
     def angles(self) -> DataFrame:
@@ -178,6 +176,14 @@ class Analysis:
         chosen = [get_calculator(n) for n in names] if names else self.active()
         return {c.short: c.run(self) if c.trajectory else hist.frame_mean(c.run(self), self.frames) for c in chosen}
 
+    def compute(self, name: str) -> DataFrame:
+        """One calculator's histograms, frame by frame."""
+        return get_calculator(name).run(self)
+
+    def compute_mean(self, name: str) -> DataFrame:
+        """One calculator's histograms, averaged over frames."""
+        return next(iter(self.run([name]).values()))
+
     def smoothed(self, found: DataFrame) -> DataFrame:
         """One histogram with y_smooth, by the options' sigma and kernel."""
         return hist.smoothed(found, self.options.sigma, self.options.kernel)
@@ -206,7 +212,7 @@ def _xrd(a: Analysis):
     if a.options.xrd_from == "g":
         g = a.rdf.where("hist = 'g_r' and key <> 'Total'").join(radial.pair_weights(a.atoms).select("frame", "key", "w"), ["frame", "key"])
         return _hist(scattering.xrd_from_g(g, a.atoms, a.frames, a.options.wavelength, dr=a.options.dr), "XRD", F.col("x"), F.col("y"))
-    return _hist(scattering.xrd_from_s(a.structure_factor, a.atoms, a.options.wavelength), "XRD", F.col("x"), F.col("y"))
+    return _hist(scattering.xrd_from_s(a.structure_factor, a.atoms, a.options.wavelength, dq=a.options.dq), "XRD", F.col("x"), F.col("y"))
 
 
 @register_operator("Plane-angle distribution", "PAD", "Angular")
@@ -227,7 +233,8 @@ def _cn(a: Analysis):
 @register_operator("Common neighbour analysis", "CNA", "Structural")
 def _cna(a: Analysis):
     found = topology.cna(a.bonds)
-    return found.select("frame", F.lit("CNA").alias("hist"), F.lit(0).cast("long").alias("bin_idx"), F.lit(0.0).alias("x"), F.col("signature").alias("key"), F.col("fraction").alias("y"))
+    place = found.select("signature").distinct().withColumn("bin_idx", F.row_number().over(Window.orderBy("signature")) - 1)  # a row for each signature
+    return _hist(found.join(place, "signature"), "CNA", F.col("bin_idx"), F.col("fraction"), F.col("signature"))
 
 
 @register_operator("Ring distribution", "RD", "Rings")
@@ -274,7 +281,8 @@ def _voronoi(a: Analysis):
 @register_operator("Density grid", "SDF", "Structural")
 def _sdf(a: Analysis):
     grid = order.density_grid(a.atoms, a.frames, max(0.5, a.options.dr))
-    return grid.select("frame", F.lit("SDF").alias("hist"), F.lit(0).cast("long").alias("bin_idx"), F.lit(0.0).alias("x"), F.concat_ws("/", "key", "ix", "iy", "iz").alias("key"), F.col("density").alias("y"))
+    both = grid.select("frame", F.col("voxel").alias("bin_idx"), F.explode(F.array("key", F.lit("Total"))).alias("key"), "density")
+    return _hist(both.groupBy("frame", "bin_idx", "key").agg(F.sum("density").alias("y")), "SDF", F.lit(0.0), F.col("y"), F.col("key"))
 
 
 @register_operator("Hyperuniformity", "HU", "Structural")
@@ -302,16 +310,45 @@ def _vdos(a: Analysis):
     return found.select(F.lit("VDOS").alias("hist"), "bin_idx", F.col("thz").alias("x"), v).select("hist", "bin_idx", "x", "v.key", "v.y")
 
 
+@register_operator("Learned potential", "MLIP", "Model")
+def _mlip(a: Analysis):
+    """The energy of each frame by the analysis' model (zero without one)."""
+    if a.model is None:
+        energies = a.frames.select("frame", F.lit(0.0).alias("energy"))
+    else:
+        energies = evaluate_model(a.atoms, a.frames, a.model, a.options.model_cutoff)
+    return _hist(energies.withColumn("bin_idx", F.lit(0)), "MLIP", F.lit(0.0), F.col("energy"), F.lit("Energy"))
+
+
+_OUTPUT = "frame long, energy double, per_atom_energy array<double>, forces array<array<double>>, stress array<double>"
+
+
 def evaluate_model(atoms: DataFrame, frames: DataFrame, model, cutoff: float = 5.0) -> DataFrame:
-    """frame, energy, forces of a user's model: a function of (atoms, edges) as pandas frames that returns (energy, [fx, fy, fz] rows).
+    """frame, energy, per_atom_energy, forces, stress (nine numbers) of a user's model: a function of (atoms, edges) as pandas
+    frames, atoms by atom_id, that returns a mapping with some of these names; what it leaves out is zero, as is everything without a model.
 
-    Without a model everything is zero. A task holds one frame with its edges."""
+    A task holds one frame with its edges."""
     import pandas as pd
 
     edges = pairs.graph_edges(atoms, frames, cutoff)
+    edges = edges.select(F.col("frame").alias("frame"), *edges.columns[1:])  # a column of its own, which cogroup can tell from that of atoms
 
     def run(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        energy, forces = model(own, links) if model else (0.0, [[0.0, 0.0, 0.0]] * len(own))
-        return pd.DataFrame({"frame": [int(own["frame"].iloc[0])], "energy": [float(energy)], "forces": [[list(map(float, f)) for f in forces]]}) if len(own) else pd.DataFrame({"frame": [], "energy": [], "forces": []})
+        if not len(own):
+            return pd.DataFrame({c: [] for c in ("frame", "energy", "per_atom_energy", "forces", "stress")})
+        own = own.sort_values("atom_id")
+        n = len(own)
+        found = {"energy": 0.0, "per_atom_energy": [0.0] * n, "forces": [[0.0] * 3] * n, "stress": [0.0] * 9, **(model(own, links) if model else {})}
+        return pd.DataFrame({"frame": [int(own["frame"].iloc[0])], "energy": [float(found["energy"])], "per_atom_energy": [list(map(float, found["per_atom_energy"]))], "forces": [[list(map(float, f)) for f in found["forces"]]], "stress": [list(map(float, found["stress"]))]})
+
+    return atoms.groupBy("frame").cogroup(edges.groupBy("frame")).applyInPandas(run, _OUTPUT)
+
+
+def add(one: dict[str, DataFrame], other: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The histograms of two runs by name, summed where both have one."""
+    return {k: hist.added(one[k], other[k]) if k in one and k in other else one.get(k, other.get(k)) for k in {**one, **other}}
+
 
-    return atoms.groupBy("frame").cogroup(edges.groupBy("frame")).applyInPandas(run, "frame long, energy double, forces array<array<double>>")
+def scale(found: dict[str, DataFrame], factor: float) -> dict[str, DataFrame]:
+    """All histograms of a run times a factor."""
+    return {k: hist.scaled(v, factor) for k, v in found.items()}

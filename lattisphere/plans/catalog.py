@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -258,18 +259,6 @@ def q4_q6(spark, d):
     return order.steinhardt(bonds, with_w6=False).select("atom_id", near("q4", 5).alias("q4"), near("q6", 5).alias("q6"))
 
 
-@query("w6")
-def w6(spark, d):
-    _, bonds = _bonded(spark, d)
-    return order.steinhardt(bonds).select("atom_id", near("w6_hat", 5).alias("w6_hat"))
-
-
-@query("steinhardt_hist")
-def steinhardt_hist(spark, d):
-    _, bonds = _bonded(spark, d)
-    return order.value_histogram(order.steinhardt(bonds, with_w6=False), "q6", "Q6", 0.0, 1.0, 100).select("bin_idx", near("x").alias("x"), "key", near("y").alias("y"))
-
-
 _LEF = "(exp(-(r - d) * (r - d) / 0.08::DOUBLE) + exp(-(r + d) * (r + d) / 0.08::DOUBLE))"
 
 
@@ -337,9 +326,17 @@ def _partials(spark, d):
     return atoms, frames, g.join(radial.pair_weights(atoms).select("frame", "key", "w"), ["frame", "key"])
 
 
+# Written out, so that the SQL does not share the operator's table.
+_FACTOR = {
+    "Si": "0.145073 + 5.275329 * exp(-2.631338 * s2) + 3.191038 * exp(-33.730728 * s2) + 1.511514 * exp(-0.081119 * s2) + 1.356849 * exp(-86.288643 * s2)",
+    "O": "0.027014 + 2.960427 * exp(-14.182259 * s2) + 2.508818 * exp(-5.936858 * s2) + 0.637853 * exp(-0.112726 * s2) + 0.722838 * exp(-34.958481 * s2)",
+    "H": "0.000049 + 0.413048 * exp(-15.569946 * s2) + 0.294953 * exp(-32.398468 * s2) + 0.187491 * exp(-5.711404 * s2) + 0.080701 * exp(-61.889874 * s2)",
+}
+
+
 def _factor(e: str, q: str) -> str:
-    v = [float(x) for x in el.FORM_FACTORS[e].split()]
-    return "(" + " + ".join([f"{v[8]!r}::DOUBLE", *(f"{v[2 * k]!r}::DOUBLE * exp(-{v[2 * k + 1]!r}::DOUBLE * ({q} / (4 * pi())) * ({q} / (4 * pi())))" for k in range(4))]) + ")"
+    typed = re.sub(r"\d+\.\d+", r"\g<0>::DOUBLE", _FACTOR[e])
+    return "(" + typed.replace("s2", f"(({q} / (4 * pi())) * ({q} / (4 * pi())))") + ")"
 
 
 def _factors(e: str, q: str) -> str:
@@ -437,11 +434,6 @@ def relaxation_time(spark, d):
     return dynamics.relaxation_time(_vacf(spark, d)).select(near("relaxation_time").alias("relaxation_time"), near("deborah").alias("deborah"))
 
 
-@query("vdos")
-def vdos(spark, d):
-    return dynamics.vdos(_vacf(spark, d)).select("bin_idx", near("thz").alias("thz"), near("y", 4).alias("y"))
-
-
 @query("dedup_frames", f"WITH {PATHS_SQL} SELECT DISTINCT frame, true AS kept FROM atoms")
 def dedup_frames(spark, d):
     return dynamics.dedup_frames(paths(spark, d))
@@ -504,3 +496,6 @@ def hist_difference(spark, d):
 def hist_integral(spark, d):
     _, _, g = _partials(spark, d)
     return hist.trapezoid(g, ["key"]).select("key", near("integral").alias("integral"))
+
+
+from . import catalog_more  # noqa: E402, F401  (registers its queries)

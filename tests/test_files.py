@@ -53,6 +53,37 @@ def test_xdatcar_and_pdb_split_by_frames(spark, tmp_path):
             assert sorted(map(tuple, one_way.collect())) == sorted(map(tuple, other.collect())) and other.count() >= 3
 
 
+def test_files_are_cut_at_their_lines(spark, tmp_path, monkeypatch):
+    head = POSCAR.split("Direct")[0]
+    body = "".join(f"{'direct' if k % 2 else 'Direct'} configuration= {k}\n0 0 0\n0.5 0.5 0.5\n0.25 0 0.{k}\n" for k in range(1, 8))
+    (tmp_path / "XDATCAR").write_text(head + body)
+    frame = '2\n{c}\nSi 1 2 {k}\nO 4 5 6\n'
+    (tmp_path / "a.xyz").write_text("".join(frame.format(k=k, c=k if k % 2 else f'Lattice="9 0 0 0 9 0 0 0 9" energy={k}') for k in range(7)))
+    lattice = "".join(f"  {' '.join('10.0' if i == j else '0.0' for j in range(3))}  <-- h\n" for i in range(3))
+    (tmp_path / "a.md").write_text(" BEGIN header\n END header\n\n" + "".join(f"  {k}.0\n  -{k}.5 -1 1 <-- E\n{lattice} Si 1 {k} 2 3 <-- R\n\n" for k in range(7)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "96")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name in ("XDATCAR", "a.xyz", "a.md"):
+            path = tmp_path / name
+            found = [sorted(map(tuple, x.collect())) for x in read_structures(spark, f"file://{path}")]
+            want = formats.parse(path.read_text(), formats.format_of(name))
+            assert spark.read.text(f"file://{path}").rdd.getNumPartitions() > 2 and len(want) == 7 == len(found[0])
+            assert [r[-1] for r in found[0]] == [f.energy for f in want]
+            assert [r[2] for r in found[1]] == [s for f in want for s in f.symbols] and np.allclose([r[3:6] for r in found[1]], [p for f in want for p in f.positions])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "one.pdb").write_text("CRYST1   10.000   11.000   12.000  90.00  90.00  90.00 P 1\nATOM      1  SI  UNK     1       1.000   2.000   3.000  1.00  0.00          SI\nEND\n")
+    frames, atoms = read_structures(spark, f"file://{tmp_path}/one.pdb")
+    assert frames.first().ay == 0 and atoms.first().element == "Si"
+
+
+def test_tilted_box():
+    box = DUMP.format(t=1).replace("BOX BOUNDS pp pp pp\n1 11\n0 10\n0 10", "BOX BOUNDS xy xz yz pp pp pp\n0 13 2\n0 11 1\n0 10 1")
+    assert np.allclose(one(box, "lammps")[0].lattice, [10, 0, 0, 2, 10, 0, 1, 1, 10])  # the bounds hold the tilt
+
+
 def test_xyz():
     text = '2\nLattice="5 0 0 0 6 0 0 0 7" Properties=pos:R:3:species:S:1 energy=-1.5\n1 2 3 Si\n4 5 6 O\n' * 2
     found = one(text, "xyz")

@@ -221,6 +221,76 @@ def test_copper_reflection(spark):
     assert abs(best.x - 43.3) < 1.5
 
 
+def test_unknown_elements_have_no_pattern(spark):
+    atoms = spark.createDataFrame([(0, 0, "Fe", 1.0, 2.0, 3.0), (0, 1, "Xx", 2.0, 2.0, 3.0)], ATOM)
+    frames = geo.frame_table(geo.cell_of_each_frame(atoms, [6, 0, 0, 0, 6, 0, 0, 0, 6]))
+    for kept, good in ((atoms.where("element = 'Fe'"), True), (atoms, False)):
+        s = scattering.structure_factor(kept, frames, 4.0, 0.5)
+        g = radial.rdf(pairs.periodic_pairs(kept, frames, 2.9), kept, frames, 2.9, 0.1).where("hist = 'g_r' and key <> 'Total'").join(radial.pair_weights(kept).select("frame", "key", "w"), ["frame", "key"])
+        for found in (scattering.xrd_from_s(s, kept, width=10.0), scattering.xrd_from_g(g, kept, frames, width=10.0, dr=0.1)):
+            if good:
+                assert found.count() == 14
+            else:
+                with pytest.raises(Exception, match="no form factor for element Xx"):
+                    found.collect()
+    assert len(el.FORM_FACTORS) == 98 and all(len(v) == 9 for v in el.FORM_FACTORS.values())
+    assert el.form_factor_coefficients("Si") == [5.275329, 2.631338, 3.191038, 33.730728, 1.511514, 0.081119, 1.356849, 86.288643, 0.145073]
+    with pytest.raises(KeyError):
+        el.form_factor_coefficients("Xx")
+
+
+def test_structure_factor_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    atoms = spark.createDataFrame([(f, k, "SiO"[:2] if k % 3 else "O", *map(float, rng.uniform(0, 7, 3))) for f in range(2) for k in range(60)], ATOM)
+    frames = geo.frame_table(geo.cell_of_each_frame(atoms, [7, 0, 0, 1, 6, 0, 0, 2, 8]))
+    whole = sorted(map(tuple, scattering.structure_factor(atoms, frames, 3.0, 0.5).collect()))
+    monkeypatch.setattr(scattering, "ATOM_BLOCK", 7)
+    monkeypatch.setattr(scattering, "VECTOR_BLOCK", 5)
+    parts = sorted(map(tuple, scattering.structure_factor(atoms, frames, 3.0, 0.5).collect()))
+    assert len(whole) == len(parts) > 10
+    for a, b in zip(whole, parts, strict=True):
+        assert a[:2] == b[:2] and a[3] == b[3] and a[5] == b[5] and abs(a[4] - b[4]) < 1e-9
+    rows = [tuple(r) for r in atoms.where("frame = 1").select("x", "y", "z").collect()]
+    cell = np.array([[7, 0, 0], [1, 6, 0], [0, 2, 8.0]])
+    dual, sums = 2 * np.pi * np.linalg.inv(cell).T, {}
+    for h in np.ndindex(21, 21, 21):
+        q = (np.array(h) - 10) @ dual
+        if 1e-12 < np.linalg.norm(q) <= 3.0 and np.linalg.norm(q) // 0.5 < 6:
+            sums.setdefault(int(np.linalg.norm(q) // 0.5), []).append(abs(np.exp(1j * (np.array(rows) @ q)).sum()) ** 2 / 60)
+    got = {r[1]: (r[4], r[5]) for r in whole if r[0] == 1 and r[3] == "Total"}
+    assert got.keys() == sums.keys() and all(abs(got[b][0] - np.mean(v)) < 1e-9 and got[b][1] == len(v) for b, v in sums.items())
+
+
+def test_crowded_frames_have_finer_bins(spark):
+    rng = np.random.default_rng(6)
+    cell = [8, 0, 0, 2, 7, 0, 1, 1, 9]
+    places = rng.uniform(0, 7, (900, 3))
+    atoms = spark.createDataFrame([(0, k, "Ar", *map(float, p)) for k, p in enumerate(places)], ATOM)
+    frames = geo.cell_of_each_frame(atoms, cell)
+    assert pairs.grid(atoms, frames, 2.5).first().nb1 > 3
+    got = sorted((min(r.i, r.j), max(r.i, r.j), round(r.d, 6)) for r in pairs.periodic_pairs(atoms, frames, 2.5).collect())
+    want = []
+    for s in np.ndindex(5, 5, 5):
+        r = places[None, :, :] + (np.array(s) - 2) @ np.array(cell, float).reshape(3, 3) - places[:, None, :]
+        d = np.sqrt((r**2).sum(axis=2))
+        i, j = np.nonzero(d < 2.5)
+        want += [(int(a), int(b), round(float(d[a, b]), 6)) for a, b in zip(i, j, strict=True) if a < b]
+    assert got == sorted(want)
+
+
+def test_frames_by_place_and_large_grids(spark):
+    atoms = spark.createDataFrame([(t, 0, "Ar", float(t), 0.0, 0.0) for t in range(4)], ATOM)
+    assert dynamics.frame_at(atoms, -1).first().x == 3.0 and dynamics.frame_at(atoms, 1).first().x == 1.0
+    for bad in (4, -5):
+        with pytest.raises(IndexError):
+            dynamics.frame_at(atoms, bad)
+    frames = geo.frame_table(geo.cell_of_each_frame(atoms, [60, 0, 0, 0, 60, 0, 0, 0, 60]))
+    assert order.density_grid(atoms, frames).count() == 0 and order.frames_without_grid(frames).count() == 4
+    a = Analysis(frames, atoms)
+    cna, sdf = get_calculator("CNA"), get_calculator("SDF").run(Analysis(geo.frame_table(geo.cell_of_each_frame(atoms, [9, 0, 0, 0, 9, 0, 0, 0, 9])), atoms))
+    assert cna.run(a).count() == 0 and sorted({r.key for r in sdf.collect()}) == ["Ar", "Total"] and {r.x for r in sdf.collect()} == {0.0}
+
+
 def test_lattice_round_trip(spark):
     want = [5.0, 6.0, 7.0, 80.0, 95.0, 110.0]
     frames = spark.createDataFrame([(0, *geo.lattice_from_parameters(*want))], "frame long, " + ", ".join(f"{c} double" for c in geo.LATTICE))
