@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import inspect
+import re
 import tempfile
 import uuid
 
@@ -23,12 +24,14 @@ _OWN: dict = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where unset, in a local session (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = tempfile.TemporaryDirectory()
             atexit.register(_OWN["dir"].cleanup)
