@@ -204,17 +204,17 @@ def last_frame(spark, d):
 @query(
     "vdos",
     f"""{_VACF}, win AS (SELECT lag AS k, vacf * exp(-0.5::DOUBLE * pow(lag / ((SELECT max(lag) FROM vacf) / 3.0::DOUBLE), 2)) AS f, (SELECT count(*) FROM vacf) AS n FROM vacf),
- nu AS (SELECT g AS i, g * 500.0::DOUBLE / 2000 AS nu, 2 * pi() * g * 500.0::DOUBLE / 2000 * 0.001::DOUBLE AS th FROM range(2000) t(g) WHERE g * 500.0::DOUBLE / 2000 <= 10),
- last AS (SELECT any_value(CASE WHEN n % 2 = 0 THEN n - 2 ELSE n - 1 END) AS z, any_value(n) AS n FROM win),
- s AS (SELECT i, nu, th, any_value(z) AS z, any_value(last.n) AS n, sum(CASE WHEN k % 2 = 1 AND k < z THEN f * cos(k * th) ELSE 0 END) AS oc, sum(CASE WHEN k % 2 = 1 AND k < z THEN f * sin(k * th) ELSE 0 END) AS os,
+ freq AS (SELECT g AS i, g * 500.0::DOUBLE / 2000 AS nu, 2 * pi() * g * 500.0::DOUBLE / 2000 * 0.001::DOUBLE AS th FROM range(2000) t(g) WHERE g * 500.0::DOUBLE / 2000 <= 10),
+ ends AS (SELECT any_value(CASE WHEN n % 2 = 0 THEN n - 2 ELSE n - 1 END) AS z, any_value(n) AS n FROM win),
+ sums AS (SELECT i, nu, th, any_value(z) AS z, any_value(ends.n) AS n, sum(CASE WHEN k % 2 = 1 AND k < z THEN f * cos(k * th) ELSE 0 END) AS oc, sum(CASE WHEN k % 2 = 1 AND k < z THEN f * sin(k * th) ELSE 0 END) AS os,
   sum(CASE WHEN k % 2 = 0 AND k <= z THEN f * cos(k * th) * CASE WHEN k = 0 OR k = z THEN 0.5 ELSE 1 END ELSE 0 END) AS ec, sum(CASE WHEN k % 2 = 0 AND k <= z THEN f * sin(k * th) * CASE WHEN k = 0 OR k = z THEN 0.5 ELSE 1 END ELSE 0 END) AS es,
-  sum(CASE WHEN k = 0 THEN f ELSE 0 END) AS f0, sum(CASE WHEN k = z THEN f ELSE 0 END) AS fz, sum(f * CASE WHEN k = 0 OR k = last.n - 1 THEN 0.5 ELSE 1 END) AS flat,
-  sum(CASE WHEN last.n % 2 = 0 AND k >= last.n - 2 THEN f * cos(k * th) / 2 ELSE 0 END) AS tc, sum(CASE WHEN last.n % 2 = 0 AND k >= last.n - 2 THEN f * sin(k * th) / 2 ELSE 0 END) AS ts FROM win, nu, last GROUP BY i, nu, th),
- c AS (SELECT *, CASE WHEN th < 1e-6 THEN 1 ELSE th END AS t FROM s),
- y AS (SELECT i, nu, exp(-0.5::DOUBLE * pow(nu / 250.0::DOUBLE, 2)) AS damp, CASE WHEN th < 1e-6 THEN flat ELSE (1 / t + sin(t) * cos(t) / t ** 2 - 2 * sin(t) ** 2 / t ** 3) * fz * sin(z * th) + 2 * ((1 + cos(t) ** 2) / t ** 2 - 2 * sin(t) * cos(t) / t ** 3) * ec + 4 * (sin(t) / t ** 3 - cos(t) / t ** 2) * oc + tc END AS re,
-  CASE WHEN th < 1e-6 THEN 0 ELSE (1 / t + sin(t) * cos(t) / t ** 2 - 2 * sin(t) ** 2 / t ** 3) * (f0 - fz * cos(z * th)) + 2 * ((1 + cos(t) ** 2) / t ** 2 - 2 * sin(t) * cos(t) / t ** 3) * es + 4 * (sin(t) / t ** 3 - cos(t) / t ** 2) * os + ts END AS im FROM c),
- v AS (SELECT -nu AS thz, im * damp AS y FROM y WHERE nu > 0 AND nu <= 5 UNION ALL SELECT nu, re * damp FROM y)
- SELECT CAST(row_number() OVER (ORDER BY thz) - 1 AS BIGINT) AS bin_idx, {r('thz')} AS thz, {r('y', 3)} AS y FROM v""",
+  sum(CASE WHEN k = 0 THEN f ELSE 0 END) AS f0, sum(CASE WHEN k = z THEN f ELSE 0 END) AS fz, sum(f * CASE WHEN k = 0 OR k = ends.n - 1 THEN 0.5 ELSE 1 END) AS flat,
+  sum(CASE WHEN ends.n % 2 = 0 AND k >= ends.n - 2 THEN f * cos(k * th) / 2 ELSE 0 END) AS tc, sum(CASE WHEN ends.n % 2 = 0 AND k >= ends.n - 2 THEN f * sin(k * th) / 2 ELSE 0 END) AS ts FROM win, freq, ends GROUP BY i, nu, th),
+ steps AS (SELECT *, CASE WHEN th < 1e-6 THEN 1 ELSE th END AS t FROM sums),
+ spectrum AS (SELECT i, nu, exp(-0.5::DOUBLE * pow(nu / 250.0::DOUBLE, 2)) AS damp, CASE WHEN th < 1e-6 THEN flat ELSE (1 / t + sin(t) * cos(t) / t ** 2 - 2 * sin(t) ** 2 / t ** 3) * fz * sin(z * th) + 2 * ((1 + cos(t) ** 2) / t ** 2 - 2 * sin(t) * cos(t) / t ** 3) * ec + 4 * (sin(t) / t ** 3 - cos(t) / t ** 2) * oc + tc END AS re,
+  CASE WHEN th < 1e-6 THEN 0 ELSE (1 / t + sin(t) * cos(t) / t ** 2 - 2 * sin(t) ** 2 / t ** 3) * (f0 - fz * cos(z * th)) + 2 * ((1 + cos(t) ** 2) / t ** 2 - 2 * sin(t) * cos(t) / t ** 3) * es + 4 * (sin(t) / t ** 3 - cos(t) / t ** 2) * os + ts END AS im FROM steps),
+ found AS (SELECT -nu AS thz, im * damp AS y FROM spectrum WHERE nu > 0 AND nu <= 5 UNION ALL SELECT nu, re * damp FROM spectrum)
+ SELECT CAST(row_number() OVER (ORDER BY thz) - 1 AS BIGINT) AS bin_idx, {r('thz')} AS thz, {r('y', 3)} AS y FROM found""",
 )
 def vdos(spark, d):
     return dynamics.vdos(_vacf(spark, d)).select("bin_idx", near("thz").alias("thz"), near("y", 3).alias("y"))
