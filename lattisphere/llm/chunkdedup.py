@@ -2,7 +2,7 @@
 
 A gear hash that rolls over 16 bytes cuts every text at the least hash of each window of WINDOW places (winnowing; Schleimer et
 al., 2003), never inside a character. So cuts depend on the bytes beside them alone, none is forced by position, and a passage of
-2 WINDOW + 15 bytes (143) or more holds a whole chunk wherever it stands; only stretches of periods up to 8 bytes are not cut. A chunk is known by a 128-bit digest; an occurrence is a repeat if the same chunk also stands in a
+2 WINDOW + 15 bytes (143) or more holds a whole chunk wherever it stands; only stretches of periods up to 8 bytes are not cut. A chunk is known by a 95-bit digest; an occurrence is a repeat if the same chunk also stands in a
 document with a smaller doc_id. A run of repeats grows outward, byte by byte, as far as the text around its end chunks is the
 text around the same chunk in the document with the least doc_id, and goes if it then has at least `least` bytes, which keeps
 chance repeats of a few words where they are. So of a repeated passage the first document keeps it whole.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import buffer_of, doc_ids, from_ipc, mix, packed, ragged, removed_runs, staged, tidy, with_text, without
+from .shared import buffer_of, doc_ids, from_ipc, gathered, mix, packed, places_of, ragged, removed_runs, staged, tidy, unpack_planes, with_text, without
 
 WINDOW, LEAST_RUN = 64, 100  # WINDOW: a power of two
 CONTEXT, MOST_PLACES = 256, 4
@@ -72,7 +72,7 @@ class Chunks:
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[: len(self.ends)]
         whole, digest = memoryview(self.data.tobytes()), xxhash.xxh3_128_digest
         each = b"".join([digest(whole[a:b]) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)])
-        self.digests = np.frombuffer(each, np.uint64).reshape(-1, 2)
+        self.digests = np.frombuffer(each, np.uint64).reshape(-1, 2) & np.array([0xFFFFFFFFFFFFFFFF, 0x7FFFFFFF], np.uint64)
         self.rows = np.searchsorted(self.offsets, self.starts, "right") - 1
 
     def distinct(self, ids: np.ndarray):
@@ -100,11 +100,11 @@ def _told(blocks: DataFrame) -> DataFrame:
                 d = d.view(np.int64)
                 for at in range(0, len(d), 1 << 16):
                     own = slice(at, min(len(d), at + (1 << 16)))
-                    yield pa.RecordBatch.from_arrays([pa.array(d[own, 0]), pa.array(d[own, 1]), pa.array(least[own]), pa.array(np.full(own.stop - at, block)), pa.array(np.arange(at, own.stop, dtype=np.int32))], ["d1", "d2", "least", "block", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(d[own, 0]), pa.array(d[own, 1].astype(np.int32)), pa.array(least[own]), pa.array(np.full(own.stop - at, block)), pa.array(np.arange(at, own.stop, dtype=np.int32))], ["d1", "d2", "least", "block", "place"])
 
-    asked = blocks.mapInArrow(tidy(run), "d1 long, d2 long, least long, block long, place int")
+    asked = blocks.mapInArrow(tidy(run), "d1 long, d2 int, least long, block long, place int")
     first = asked.withColumn("first", F.min(F.struct("least", "block")).over(Window.partitionBy("d1", "d2"))).where("first.least < least")
-    return first.select("block", "place", F.col("first.least").alias("least"), F.col("first.block").alias("source"))
+    return gathered(first.select("block", "place", F.col("first.least").alias("least"), F.col("first.block").alias("source")), {"place": "i4", "least": "i8", "source": "i8"})
 
 
 class Repeats:
@@ -114,8 +114,10 @@ class Repeats:
         ids = doc_ids(rows.column("doc_id"))
         self.chunks = Chunks(rows.column("text"))
         _, least, self.place = self.chunks.distinct(ids)
-        least, source, at = least.copy(), np.full(len(least), block), told.column("place").to_numpy()
-        least[at], source[at] = told.column("least").to_numpy(), told.column("source").to_numpy()
+        least, source = least.copy(), np.full(len(least), block)
+        for places, values, holders in zip(*(told.column(c).to_pylist() for c in ("place", "least", "source")), strict=True):
+            at = places_of(places)
+            least[at], source[at] = unpack_planes(values, np.int64), unpack_planes(holders, np.int64)
         self.least, self.source = least[self.place], source[self.place]
         rows_of = self.chunks.rows
         self.dup = ids[rows_of] > self.least
@@ -183,11 +185,11 @@ def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
         found = Repeats(held.column("block")[0].as_py(), from_ipc(held.column("payload")[0].as_py()), told)
         ends, side = found.ends()
         digests = found.chunks.digests[ends].view(np.int64)
-        each = pa.table({"holder": found.source[ends], "d1": np.ascontiguousarray(digests[:, 0]), "d2": np.ascontiguousarray(digests[:, 1]), "least": found.least[ends], "side": side.astype(np.int32)})
+        each = pa.table({"holder": found.source[ends], "d1": np.ascontiguousarray(digests[:, 0]), "d2": digests[:, 1].astype(np.int32), "least": found.least[ends], "side": side.astype(np.int32)})
         each = each.group_by(each.column_names).aggregate([])
         return each.append_column("block", pa.repeat(held.column("block")[0], each.num_rows)).select(["holder", "d1", "d2", "least", "side", "block"])
 
-    asking, _ = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy(ask), "holder long, d1 long, d2 long, least long, side int, block long"), "asked")
+    asking, _ = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy(ask), "holder long, d1 long, d2 int, least long, side int, block long"), "asked")
     wanted = asking.select("holder", "d1", "d2", "least", "side").distinct()  # however many ask, a holder answers once for each of its chunks
 
     def reply(held: pa.Table, asked: pa.Table) -> pa.Table:
@@ -206,9 +208,9 @@ def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
                 if right is not None and len(right) < MOST_PLACES:
                     right.append(whole[ends[k] : min(offsets[row + 1], ends[k] + CONTEXT)])
         columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(list(found.values()), pa.list_(pa.binary()))], names=["d1", "d2", "side", "beside"])
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(list(found.values()), pa.list_(pa.binary()))], names=["d1", "d2", "side", "beside"])
 
-    replies = blocks.groupBy("block").cogroup(wanted.groupBy("holder")).applyInArrow(tidy(reply), "d1 long, d2 long, side int, beside array<binary>")
+    replies = blocks.groupBy("block").cogroup(wanted.groupBy("holder")).applyInArrow(tidy(reply), "d1 long, d2 int, side int, beside array<binary>")
     given = asking.select("block", "d1", "d2", "side").join(replies, ["d1", "d2", "side"])  # a chunk that many blocks ask for is a skewed key of a plain join
     told_all = told.unionByName(given, allowMissingColumns=True)
 

@@ -17,11 +17,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_hinge, fit_scale, logistic
-from .shared import buffer_of, mix, slices, tidy
+from .shared import buffer_of, give_back, mix, slices, tidy
 
 PER_LANGUAGE = 1000
 DIM, ORDERS = 1 << 16, (1, 2, 3, 4)
@@ -166,14 +167,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("key"), pa.array([a.tolist() for a, _ in rows], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float32()))], ["lang", "key", "at", "share"])
 
     table = drawn.select("lang", "key", "text").mapInArrow(tidy(run), "lang string, key long, at array<int>, share array<float>").toArrow()
-    table = table.sort_by([("key", "ascending"), ("lang", "ascending")])  # the same order however the files are laid out
     if not table.num_rows:
         return None
     at, share = table.column("at").combine_chunks(), table.column("share").combine_chunks()
     edges, flat, values = at.offsets.to_numpy().astype(np.int64), at.values.to_numpy(), share.values.to_numpy()
-    names = np.array(table.column("lang").to_pylist(), object)
+    order = pc.sort_indices(table.select(["key", "lang"]), [("key", "ascending"), ("lang", "ascending")]).to_numpy()  # the same however the files are laid out
+    names = np.array(table.column("lang").to_pylist(), object)[order]
     model = Model(sorted(set(names.tolist())))
-    model.fit([(flat[a:b], values[a:b].astype(np.float64)) for a, b in zip(edges[:-1], edges[1:], strict=True)], names)
+    model.fit([(flat[edges[k] : edges[k + 1]], values[edges[k] : edges[k + 1]].astype(np.float64)) for k in order.tolist()], names)
+    del table, at, share, flat, values
+    give_back()  # of the driver
     return model
 
 

@@ -258,6 +258,46 @@ def unpack_planes(packed: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+#: Rows that are gathered by block at once before they are shuffled.
+HELD_ROWS = 1 << 21
+
+
+def gathered(rows: DataFrame, kinds: dict[str, str], most: int = HELD_ROWS) -> DataFrame:
+    """Rows (block, place, ...) gathered by block, `most` of them at a time: block and each column of kinds packed, in order of place (a column kept as differences).
+
+    One row for each block that the rows name, so never more rows than there were."""
+
+    def pack(held: list) -> pa.RecordBatch:
+        columns = {c: np.concatenate([h[c] for h in held]) for c in ("block", *kinds)}
+        order = np.lexsort((columns["place"], columns["block"]))
+        columns = {c: v[order] for c, v in columns.items()}
+        first = np.flatnonzero(np.concatenate([[True], columns["block"][1:] != columns["block"][:-1]]))
+        out = [pa.array(columns["block"][first])]
+        for c, kind in kinds.items():
+            parts = np.split(columns[c].astype(kind), first[1:])
+            out.append(pa.array([pack_planes(np.diff(x, prepend=x.dtype.type(0)) if c == "place" else x) for x in parts], pa.binary()))
+        return pa.RecordBatch.from_arrays(out, ["block", *kinds])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", *kinds)})
+                n += batch.num_rows
+            if n >= most:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    return rows.select("block", *kinds).mapInArrow(tidy(run), ", ".join(["block long", *(f"{c} binary" for c in kinds)]))
+
+
+def places_of(packed: bytes) -> np.ndarray:
+    """The places that gathered() packed."""
+    return np.cumsum(unpack_planes(packed, np.int32))
+
+
 def without(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> list[bytes]:
     """Each value's bytes that are not gone."""
     kept = data[~gone]

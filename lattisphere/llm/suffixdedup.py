@@ -25,10 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, mix, pack_planes, packed, parts_for, ragged, removed_runs, span_hashes, staged, text_bytes, tidy, unpack_planes, without
+from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, gathered, mix, pack_planes, packed, parts_for, places_of, ragged, removed_runs, span_hashes, staged, text_bytes, tidy, unpack_planes, without
 
 LENGTH, GRAM, BLOCK_TEXT, BUCKET_TEXT = 50, 16, 2 << 20, 4 << 20
-KEY_BITS, HELD_ROWS = 48, 1 << 21
+KEY_BITS = 48
 
 
 def words_at(data: np.ndarray, big: bool = False) -> np.ndarray:
@@ -171,7 +171,7 @@ def _shared_keys(blocks: DataFrame, length: int, gram: int) -> DataFrame:
     """For each block the places of its keys that another block has too, packed, in several rows.
 
     A row for each distinct key of a block is exchanged, of KEY_BITS bits: a chance match only makes a candidate more. What goes
-    back is gathered by block, HELD_ROWS at a time."""
+    back is gathered by block."""
 
     def run(batches):
         for batch in batches:
@@ -183,37 +183,16 @@ def _shared_keys(blocks: DataFrame, length: int, gram: int) -> DataFrame:
                     own = keys[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block)), pa.array(np.arange(at, at + len(own), dtype=np.int32))], ["key", "block", "place"])
 
-    def gathered(blocks: list, places: list) -> pa.RecordBatch:
-        block, place = np.concatenate(blocks), np.concatenate(places)
-        order = np.lexsort((place, block))
-        block, place = block[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        packed = [pack_planes(np.diff(x, prepend=np.int32(0))) for x in np.split(place, first[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(packed, pa.binary())], ["block", "places"])
-
-    def gather(batches):
-        blocks, places, n = [], [], 0
-        for batch in batches:
-            if batch.num_rows:
-                blocks.append(batch.column("block").to_numpy())
-                places.append(batch.column("place").to_numpy())
-                n += batch.num_rows
-            if n >= HELD_ROWS:
-                yield gathered(blocks, places)
-                blocks, places, n = [], [], 0
-        if n:
-            yield gathered(blocks, places)
-
     asked = blocks.mapInArrow(tidy(run), "key long, block long, place int")
     shared = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("block", "place")
-    return shared.mapInArrow(tidy(gather), "block long, places binary")
+    return gathered(shared, {"place": "i4"})
 
 
 def _known(told: pa.Table, local: np.ndarray) -> np.ndarray:
     """Which of a block's keys two or more documents have."""
     known = local.copy()
-    for places in told.column("places").drop_null().to_pylist():
-        known[np.cumsum(unpack_planes(places, np.int32))] = True
+    for packed in told.column("place").drop_null().to_pylist():
+        known[places_of(packed)] = True
     return known
 
 
