@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elements as el
 from ..functions import geometry as geo
-from ..operators import angular, dynamics, order, pairs, radial, scattering, topology
+from ..operators import angular, dynamics, order, pairs, radial, scattering, topology, voronoi
 from ..operators.storage import new_folder
 from ..sources.reader import read_structures
 from .analysis import evaluate_model
@@ -152,6 +152,13 @@ def dad(spark, d):
     return angular.dad(angular.dihedrals(bonds), 5.0).where("hist = 'DAD'").select("key", "bin_idx", near("y", 9).alias("y"))
 
 
+@query("voronoi_total", f"WITH {POINTS_SQL} SELECT CAST(count(*) AS BIGINT) AS n, 8000.0::DOUBLE AS total FROM atoms")
+def voronoi_total(spark, d):
+    """The cells of all atoms fill the box."""
+    atoms = points(spark, d)
+    return voronoi.voronoi_cells(atoms, cube(atoms)).agg(F.count("*").alias("n"), near(F.sum("volume"), 3).alias("total"))
+
+
 # --- geometry and models --------------------------------------------------------------------------------------------------------
 
 

@@ -261,6 +261,18 @@ def test_structure_factor_in_blocks(spark, monkeypatch):
     assert got.keys() == sums.keys() and all(abs(got[b][0] - np.mean(v)) < 1e-9 and got[b][1] == len(v) for b, v in sums.items())
 
 
+def test_both_ways_to_a_voronoi_cell():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        v = rng.normal(size=(60, 3)) * 3
+        v = v[np.argsort(np.linalg.norm(v, axis=1))]
+        d = np.linalg.norm(v, axis=1)
+        one, other = voronoi.cell(v, 50.0), voronoi._clipped(v, d, 50.0)
+        if one is None or other is None:
+            continue
+        assert np.allclose(one[:2], other[:2]) and one[2:] == other[2:]
+
+
 def test_crowded_frames_have_finer_bins(spark):
     rng = np.random.default_rng(6)
     cell = [8, 0, 0, 2, 7, 0, 1, 1, 9]
