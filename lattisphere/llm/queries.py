@@ -66,8 +66,18 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 _SHINGLES = "unnest([array_to_string(w[i : i + n - 1], ' ') for i in range(1, len(w) - n + 2)])"
 
-#: DuckDB SQL where it can express a query; the others need XXH64, CRC-32, a tokenizer, a fitted model or byte strings.
+#: DuckDB SQL where it can express a query; the others need XXH64, CRC-32, a tokenizer, a rolling hash or a fitted model.
 ORACLE = {
+    "op10_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+ c AS (SELECT doc_id, n, c, substr(h, 400 * c + 1, 498) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n // 200 + 1)) AS c FROM d)),
+ s AS (SELECT doc_id, 200 * c + j AS k, substr(h, 2 * j + 1, 100) AS s FROM (SELECT doc_id, c, h, unnest(range(0, greatest(0, least(200, n - 49 - 200 * c)))) AS j FROM c)),
+ m AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s), hit AS (SELECT doc_id, k FROM s JOIN m USING (s) WHERE first < doc_id),
+ o AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM hit),
+ i AS (SELECT doc_id, k, sum(CASE WHEN p IS NULL OR k - p > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM o),
+ r AS (SELECT doc_id, g, min(k) AS a, max(k) + 50 AS b FROM i GROUP BY doc_id, g), t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS z FROM r GROUP BY doc_id),
+ x AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS e FROM r UNION ALL SELECT doc_id, z, n FROM t JOIN d USING (doc_id)),
+ q AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (e - f)), '' ORDER BY f) AS q FROM x JOIN d USING (doc_id) GROUP BY doc_id)
+ SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(q, h))) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id""",
     "op8_topk": """WITH v AS (SELECT vec_id, [floor(64 * CAST(e AS DOUBLE)) for e in embedding] AS v FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([e for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0),
  s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
