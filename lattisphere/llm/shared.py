@@ -246,15 +246,30 @@ def doc_ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), LAST_ID).to_numpy(zero_copy_only=False)
 
 
+_PACKERS: dict[int, zstandard.ZstdCompressor] = {}
+_UNPACKER = zstandard.ZstdDecompressor()
+
+
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    """zstandard.compress by one compressor for each level and worker: a new one for each small piece takes longer than its work."""
+    if level not in _PACKERS:
+        _PACKERS[level] = zstandard.ZstdCompressor(level=level)
+    return _PACKERS[level].compress(data)
+
+
+def unsqueeze(packed: bytes) -> bytes:
+    return _UNPACKER.decompress(packed)
+
+
 def pack_planes(values: np.ndarray, level: int = 1) -> bytes:
     """Numbers as planes of their bytes, packed: planes of equal bytes take next to nothing."""
     width = values.dtype.itemsize
     flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width)
-    return zstandard.compress(np.ascontiguousarray(flat.T).tobytes(), level)
+    return squeeze(np.ascontiguousarray(flat.T).tobytes(), level)
 
 
 def unpack_planes(packed: bytes, kind) -> np.ndarray:
-    flat = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    flat = np.frombuffer(unsqueeze(packed), np.uint8)
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 

@@ -21,101 +21,174 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, gathered, mix, pack_planes, packed, parts_for, places_of, ragged, removed_runs, span_hashes, staged, text_bytes, tidy, unpack_planes, without
+from .shared import LAST_ID, buffer_of, doc_ids, from_ipc, gathered, mix, pack_planes, packed, parts_for, places_of, ragged, removed_runs, squeeze, staged, text_bytes, tidy, unpack_planes, unsqueeze, without
 
 LENGTH, GRAM, BLOCK_TEXT, BUCKET_TEXT = 50, 16, 2 << 20, 4 << 20
 KEY_BITS = 48
 
 
+#: Places that are hashed at once, so that all temporaries stay in a core's cache.
+AT_ONCE = 1 << 15
+
+
+def words_view(data: np.ndarray, big: bool = False, more: int = 8) -> np.ndarray:
+    """A view of padded bytes: at each byte the 64-bit number of the 8 bytes from there on, zeros beyond the end. `more` zeros stand behind."""
+    held = np.zeros(len(data) + more, np.uint8)
+    held[: len(data)] = data
+    return np.ndarray((len(held) - 7,), ">u8" if big else "<u8", held, strides=(1,))
+
+
 def words_at(data: np.ndarray, big: bool = False) -> np.ndarray:
     """At each byte the 64-bit number of the 8 bytes from there on, zeros beyond the end."""
-    n = len(data)
-    full = np.zeros(n + 8, np.uint64)
-    full[:n] = data
-    for size in (1, 2, 4):
-        up = np.zeros_like(full)
-        up[:-size] = full[size:]
-        full = (full << np.uint64(8 * size)) | up if big else full | (up << np.uint64(8 * size))
-    return full[:n]
+    return words_view(data, big)[: len(data)].astype(np.uint64)
+
+
+def gram_hashes(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of runs of bytes, by their first and last 8 bytes."""
+    x = first * np.uint64(0x9DDFEA08EB382D69)
+    x += last * np.uint64(0xC2B2AE3D27D4EB4F)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def span_words(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """Spans of 8 bytes or more as 64-bit numbers, the last one back from the end: which spans reach so far, and the place of their number."""
+    for at in range(0, int(sizes.max(initial=0)), 8):
+        own = np.flatnonzero(sizes > at)
+        yield own, starts[own] + np.minimum(at, sizes[own] - 8)
+
+
+def merged(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal spans (of one home) as one, in order of home: an index of each, the place of every span among them, and their least ids.
+
+    Equal hashes are compared as bytes. Spans whose hashes meet by chance may leave equal ones apart, which costs a row and no result."""
+    h = sizes.astype(np.uint64)
+    for own, at in span_words(words, starts, sizes):
+        h[own] = mix((h[own] ^ words[at]) * np.uint64(0x9E3779B97F4A7C15))
+    if home is not None:
+        h = (home.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+    order = np.argsort(h, kind="stable")
+    a, b = order[1:], order[:-1]
+    same = np.flatnonzero((h[a] == h[b]) & (sizes[a] == sizes[b]))
+    a, b = a[same], b[same]
+    equal = np.ones(len(same), bool)
+    for own, at in span_words(words, starts[a], sizes[a]):
+        equal[own] &= words[at] == words[at + (starts[b] - starts[a])[own]]
+    new = np.ones(len(order), bool)
+    new[same[equal] + 1] = False
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(order) else ids
+    return order[new], place, least
 
 
 class Grams:
-    """The candidate machinery of one block: where strings start, the run that each chooses, and the runs' keys."""
+    """The candidate machinery of one block: the run of GRAM bytes that each string chooses, the runs' keys, and the neighbouring strings that chose one run."""
 
     def __init__(self, texts: pa.Array, ids: np.ndarray, length: int, gram: int):
         self.data, self.offsets = buffer_of(texts)
         self.ids, self.length, self.gram = ids, length, gram
+        self.words = words_view(self.data)
         n, window = len(self.data), length - gram + 1
-        sizes = np.diff(self.offsets)
-        self.starts = ragged(self.offsets[:-1], np.maximum(0, sizes - length + 1))  # strings inside one document
-        if not len(self.starts):
-            self.chosen = self.picks = np.zeros(0, np.int64)
-            self.keys = np.zeros(0, np.uint64)
-            return
-        w = words_at(self.data)
-        grams = n - gram + 1
-        h = mix(w[:grams] * np.uint64(0x9DDFEA08EB382D69) + mix(w[gram - 8 : gram - 8 + grams] + np.uint64(1)))
-        least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
-        size = 1
-        while 2 * size <= window:  # minima of 2, 4, 8 ... neighbours
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if window > size:
-            least = np.minimum(least[: len(least) - (window - size)], least[window - size :])
-        self.chosen = (least[self.starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.ones(len(self.chosen), bool)
-        new[1:] = self.chosen[1:] != self.chosen[:-1]
-        self.picks = self.chosen[new]
-        self.keys = h[self.picks]
+        inside = np.ones(n, bool)  # strings inside one document
+        ends, tails = self.offsets[1:], np.minimum(np.diff(self.offsets), length - 1)
+        inside[ragged(ends - tails, tails)] = False
+        picks, starts, ranks, total, last = [], [], [], 0, -1
+        for a in range(0, n - length + 1, AT_ONCE):
+            b = min(a + AT_ONCE, n - length + 1)
+            grams = b - a + window - 1
+            w = self.words[a : a + grams + gram - 8].astype(np.uint64)
+            least = gram_hashes(w[:grams], w[gram - 8 :])
+            least &= np.uint64(0xFFFFFFFF00000000)
+            least |= np.arange(a, a + grams, dtype=np.uint64)
+            size = 1
+            while 2 * size <= window:  # minima of 2, 4, 8 ... neighbours
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            if window > size:
+                least = np.minimum(least[: len(least) - (window - size)], least[window - size :])
+            own = np.flatnonzero(inside[a:b])
+            if not len(own):
+                continue
+            chosen = (least[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            new = np.flatnonzero(np.diff(chosen, prepend=last))
+            picks.append(chosen[new])
+            starts.append(own[new] + a)
+            ranks.append(new + total)
+            total, last = total + len(own), chosen[-1]
+        # strings of two documents never choose one run, so those that chose one are neighbours
+        self.picks, self.starts = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (picks, starts))
+        self.counts = np.diff(np.concatenate([*ranks, [total]]))
+        self.keys = gram_hashes(self.words[self.picks].astype(np.uint64), self.words[self.picks + gram - 8].astype(np.uint64))
 
     def distinct(self):
         """Keys in order, whether two of the block's documents have them, and each pick's place."""
         own = self.ids[np.searchsorted(self.offsets, self.picks, "right") - 1]
-        order = np.lexsort((own, self.keys))
+        order = np.argsort(self.keys)
         k, own = self.keys[order], own[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(k)]]) - 1 if len(k) else first
+        rank = np.cumsum(new) - 1
         place = np.empty(len(k), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return k[new], own[first] != own[last], place
+        place[order] = rank
+        local = np.zeros(int(new.sum()), bool)
+        local[rank[1:][~new[1:] & (own[1:] != own[:-1])]] = True
+        return k[new], local, place
 
     def snippets(self, known: np.ndarray, place: np.ndarray, buckets: int):
         """Candidate strings as runs of neighbouring starts with one chosen run: starts, lengths and bucket of each."""
-        good = known[place][np.searchsorted(self.picks, self.chosen)] if len(self.picks) else np.zeros(0, bool)
-        at, chosen = self.starts[good], self.chosen[good]
-        new = np.ones(len(at), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(new)
-        counts = np.diff(np.concatenate([first, [len(at)]]))
-        home = (self.keys[np.searchsorted(self.picks, chosen[first])] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        return at[first][order], counts[order], home[order]
+        good = np.flatnonzero(known[place])
+        home = (self.keys[good] % np.uint64(buckets)).astype(np.int64)
+        good = good[np.argsort(home, kind="stable")]
+        return self.starts[good], self.counts[good], np.sort(home)
+
+
+def sorted_by(places: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Places in the order of their keys, the first one first; each further key sorts only what the ones before left equal."""
+    out = places
+    at = group = None
+    for k in keys:
+        v = k[out if at is None else out[at]].astype(np.uint64)
+        order = np.argsort(v) if at is None else np.lexsort((v, group))
+        v = v[order]
+        new = np.ones(len(v) + 1, bool)
+        new[1:-1] = v[1:] != v[:-1]
+        if at is None:
+            out, at = out[order], np.arange(len(out))
+        else:
+            out[at] = out[at[order]]
+            new[1:-1] |= group[1:] != group[:-1]
+        tied = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(tied):
+            break
+        at, group = at[tied], (np.cumsum(new[:-1]))[tied]
+    return out
 
 
 def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int, keys: list[np.ndarray]) -> np.ndarray:
     """The wanted suffixes (a mask over data) in the order of their first `depth` bytes. keys: for each place the big-endian words of those bytes."""
     n = len(data)
-    differ = np.ones(n, bool)
-    differ[:-1] = data[:-1] != data[1:]
-    nearest = np.minimum.accumulate(np.where(differ, np.arange(n), n)[::-1])[::-1]  # the first place from here on that differs from its successor
     smaller = np.zeros(n, bool)
-    inner = nearest < n - 1
-    smaller[inner] = data[nearest[inner]] < data[nearest[inner] + 1]
+    smaller[:-1] = data[:-1] < data[1:]
+    alike = data[:-1] == data[1:]
+    ends = np.flatnonzero(~alike)  # a run of one byte is as its end; the last run's suffixes are not smaller
+    inner = np.flatnonzero(alike[: ends[-1] if len(ends) else 0])
+    smaller[inner] = smaller[ends[np.searchsorted(ends, inner)]]
     # a suffix that is not smaller is induced from its successors, up to one that is
-    next_smaller = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
-    at = np.flatnonzero(wanted)
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, next_smaller[at] + 1, -1)
-    need = np.cumsum(cover[:n]) > 0
-    direct = np.flatnonzero(need & smaller)
-    direct = direct[np.lexsort([k[direct] for k in reversed(keys)])]
+    need = wanted.copy()
+    at = np.flatnonzero(wanted & ~smaller) + 1
+    while len(at):
+        at = at[at < n]
+        at = at[~need[at]]
+        need[at] = True
+        at = at[~smaller[at]] + 1
+    direct = sorted_by(np.flatnonzero(need & smaller), keys)
     edges = np.searchsorted(data[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induce_from = need & ~smaller
@@ -137,8 +210,8 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int, keys: list
     for byte in range(256):
         k = 0
         while k < len(induced[byte]):  # grows while it is read: runs of one byte
-            induce(induced[byte][k])
-            k += 1
+            k, places = len(induced[byte]), np.concatenate(induced[byte][k:])
+            induce(places)
         own = direct[edges[byte] : edges[byte + 1]]
         induce(own)
         out += [*induced[byte], own]
@@ -151,14 +224,15 @@ def least_ids(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.
     places = ragged(starts, counts)
     wanted = np.zeros(len(data), bool)
     wanted[places] = True
-    words = words_at(data, big=True)
-    padded = np.concatenate([words, np.zeros(length + 8, np.uint64)])
-    keys = [padded[k : k + len(data)] for k in range(0, length, 8)]
-    if length % 8:
-        keys[-1] = keys[-1] & np.uint64(((1 << 8 * (length % 8)) - 1) << (64 - 8 * (length % 8)))
+    words = words_view(data, big=True, more=length + 8)
+    # the last 8 bytes overlap those before, which are equal where they count
+    keys = [words[k : k + len(data)] for k in [*range(0, length - 8, 8), length - 8]]
     order = two_stage_order(data, wanted, length, keys)
     new = np.ones(len(order), bool)  # a common prefix with the neighbour before that is shorter than the length
-    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0) if len(order) > 1 else False
+    same = np.arange(1, len(order))
+    for k in keys:
+        same = same[k[order[same]] == k[order[same - 1]]]
+    new[same] = False
     own = np.full(len(data), LAST_ID)
     own[places] = np.repeat(ids, counts)
     least = np.empty(len(data), np.int64)
@@ -206,20 +280,7 @@ class _Asked:
         _, local, place = g.distinct()
         self.starts, self.counts, self.home = g.snippets(_known(told, local), place, buckets)
         self.row = np.searchsorted(g.offsets, self.starts, "right") - 1
-        own = ids[self.row]
-        h = span_hashes(g.data, self.starts, self.starts + self.counts + length - 1)
-        order = np.lexsort((own, h, self.counts, self.home))
-        a, b = order[1:], order[:-1]
-        same = (h[a] == h[b]) & (self.home[a] == self.home[b]) & (self.counts[a] == self.counts[b])
-        if same.any():  # equal hashes are compared as bytes
-            x, y, n = self.starts[a[same]], self.starts[b[same]], self.counts[a[same]] + length - 1
-            differ = g.data[ragged(x, n)] != g.data[ragged(y, n)]
-            same[np.flatnonzero(same)[np.add.reduceat(differ, np.cumsum(n) - n) > 0]] = False
-        new = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        self.first = order[new]
-        self.ids = own[self.first]
+        self.first, self.place, self.ids = merged(g.words, self.starts, self.counts + length - 1, ids[self.row], self.home)
         self.edges = np.searchsorted(self.home[self.first], np.arange(buckets + 1))
 
 
@@ -232,7 +293,7 @@ def _strings(blocks: DataFrame, told: DataFrame, buckets: int, length: int, gram
             for bucket in np.flatnonzero(np.diff(asked.edges)):
                 own = asked.first[asked.edges[bucket] : asked.edges[bucket + 1]]
                 text = asked.grams.data[ragged(asked.starts[own], asked.counts[own] + length - 1)]
-                out.append((int(bucket), block, pack_planes(asked.counts[own].astype(np.uint32)), pack_planes(asked.ids[asked.edges[bucket] : asked.edges[bucket + 1]]), zstandard.compress(text.tobytes(), 3)))
+                out.append((int(bucket), block, pack_planes(asked.counts[own].astype(np.uint32)), pack_planes(asked.ids[asked.edges[bucket] : asked.edges[bucket + 1]]), squeeze(text.tobytes(), 3)))
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["bucket", "block", "counts", "ids", "text"])
 
@@ -246,25 +307,14 @@ def _resolved(strings: DataFrame, length: int) -> DataFrame:
         each = [unpack_planes(x, np.uint32).astype(np.int64) for x in part.column("counts").to_pylist()]
         counts = np.concatenate(each)
         ids = np.concatenate([unpack_planes(x, np.int64) for x in part.column("ids").to_pylist()])
-        data = np.frombuffer(b"".join(map(zstandard.decompress, part.column("text").to_pylist())), np.uint8)
+        data = np.frombuffer(b"".join(map(unsqueeze, part.column("text").to_pylist())), np.uint8)
         sizes = counts + length - 1
         starts = np.cumsum(sizes) - sizes
         # snippets that several blocks sent are sorted once, with their least id
-        h = span_hashes(data, starts, starts + sizes)
-        order = np.lexsort((ids, h, counts))
-        a, b = order[1:], order[:-1]
-        same = (h[a] == h[b]) & (counts[a] == counts[b])
-        if same.any():
-            n = sizes[a[same]]
-            differ = data[ragged(starts[a[same]], n)] != data[ragged(starts[b[same]], n)]
-            same[np.flatnonzero(same)[np.add.reduceat(differ, np.cumsum(n) - n) > 0]] = False
-        new = np.concatenate([[True], ~same])
-        first = order[new]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
+        first, place, ids = merged(words_view(data), starts, sizes, ids)
         own = data[ragged(starts[first], sizes[first])]
         own_starts = np.cumsum(sizes[first]) - sizes[first]
-        least = least_ids(own, own_starts, counts[first], ids[first], length)
+        least = least_ids(own, own_starts, counts[first], ids, length)
         at = np.cumsum(counts[first]) - counts[first]
         whole = least[ragged(at[place], counts)]
         ends = np.cumsum([x.sum() for x in each])
@@ -297,10 +347,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         least_of = values[ragged(at[asked.place], asked.counts)]
         own_ids = np.repeat(asked.grams.ids[asked.row], asked.counts)
         hit = places[least_of < own_ids]
-        cover = np.zeros(len(data) + 1, np.int64)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        cover = np.zeros(len(data) + 1, np.int32)
+        cover[hit] = 1
+        cover[hit + length] -= 1
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         n_removed, n_spans = removed_runs(gone, offsets)
         kept = without(data, offsets, gone)
         columns = [asked.rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(n_spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept])] + [pa.array(kept, pa.binary())] * with_text

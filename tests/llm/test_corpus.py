@@ -7,6 +7,7 @@ import shutil
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -252,6 +253,49 @@ def test_two_stage_order():
         assert sorted(order.tolist()) == np.flatnonzero(wanted).tolist() and strings == sorted(strings)
 
 
+def test_suffixes_are_read_as_far_as_they_are_equal():
+    class Key:
+        read = 0
+
+        def __init__(self, values):
+            self.values = values
+
+        def __getitem__(self, at):
+            Key.read += len(at)
+            return self.values[at]
+
+    data = np.frombuffer(np.random.default_rng(6).bytes(20_000) + b"one passage of more than fifty bytes, which is there twice; " * 2 + bytes(60), np.uint8)
+    words = np.concatenate([suffixdedup.words_at(data, big=True), np.zeros(64, np.uint64)])
+    wanted = np.arange(len(data)) < len(data) - 60
+    order = suffixdedup.two_stage_order(data, wanted, 48, [Key(words[k : k + len(data)]) for k in range(0, 48, 8)])
+    strings = [data[k : k + 48].tobytes() for k in order]
+    assert sorted(order.tolist()) == np.flatnonzero(wanted).tolist() and strings == sorted(strings)
+    assert Key.read < 1.5 * len(data)  # six times about half of it, where every string is read whole
+
+
+def test_strings_choose_their_runs_piece_by_piece(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abé \0") for _ in range(n)) for n in (0, 49, 50, 3, 700, 51, 0, 120)] + ["a" * 300, None, ""]
+    ids = np.arange(len(texts))
+    offsets = np.cumsum([0, *(len((t or "").encode()) for t in texts)])
+    whole = suffixdedup.Grams(pa.array(texts), ids, 50, 16)
+    strings = [k for a, b in zip(offsets[:-1], offsets[1:], strict=True) for k in range(a, b - 49)]
+    data = whole.data.tobytes()
+    assert [k + j for k, n in zip(whole.starts, whole.counts, strict=True) for j in range(n)] == strings
+    assert all(k + n - 1 <= p <= k + 34 for k, n, p in zip(whole.starts, whole.counts, whole.picks, strict=True))
+    run = dict(zip(strings, np.repeat(whole.picks - whole.starts, whole.counts) - np.concatenate([np.arange(n) for n in whole.counts]), strict=True))
+    assert len({(data[k : k + 50], p) for k, p in run.items()}) == len({data[k : k + 50] for k in strings})  # equal strings choose equal runs
+    for step in (1, 7, 50, 333):
+        monkeypatch.setattr(suffixdedup, "AT_ONCE", step)
+        own = suffixdedup.Grams(pa.array(texts), ids, 50, 16)
+        assert all((getattr(own, c) == getattr(whole, c)).all() for c in ("picks", "starts", "counts", "keys")), step
+    starts, sizes = whole.starts, whole.counts + 49
+    first, place, least = suffixdedup.merged(whole.words, starts, sizes, -np.arange(len(starts)))
+    spans = [data[k : k + n] for k, n in zip(starts, sizes, strict=True)]
+    assert [spans[first[k]] for k in place] == spans and len(first) == len(set(spans))
+    assert all(least[p] == -max(k for k, s in enumerate(spans) if s == spans[first[p]]) for p in range(len(first)))
+
+
 def test_chunk_dedup(docs, empty, rows):
     got = {r.doc_id: r for r in chunkdedup.dedup(docs.drop("n_bytes")).collect() if r.doc_id is not None}
     texts = {i: t for i, t, *_ in rows if i is not None}
