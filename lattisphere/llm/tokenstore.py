@@ -122,15 +122,13 @@ def _encoded(docs: DataFrame, path: str, cuts: list) -> DataFrame:
             for piece in slices(batch):
                 texts = piece.column("text")
                 coded, counts = tool.split(texts)
-                values = tool.cached(coded.dictionary.to_pylist(), "H" if kind == "<u2" else "I")
-                data, at = joined(values, coded.indices.to_numpy())
+                data, at = joined(tool.coded(coded.dictionary, "H" if kind == "<u2" else "I"), coded.indices)
                 edges = at[np.concatenate([[0], np.cumsum(counts)])].tolist()
                 ids, salts = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "salt"))
                 crcs = np.fromiter((zlib.crc32(x) for x in bytes_array(texts).to_pylist()), np.int64, len(ids))
                 whole = memoryview(data.tobytes())
                 packed = [_pack(np.frombuffer(b"".join((whole[a:b], end)), kind)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(parts_of(cuts, ids, crcs, salts)), pa.array(ids), pa.array(crcs), pa.array(packed, pa.binary())], ["part", "doc_id", "crc", "ids"])
-        tool.known.clear()  # the worker goes on to other stages
 
     return _keyed(docs).mapInArrow(tidy(run), "part long, doc_id long, crc long, ids binary")
 

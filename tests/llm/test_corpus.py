@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattisphere.llm import bpe, chunkdedup, decontamination, language, neardup, quality, sharding, simhash, suffixdedup, tokenstore, topk
+from lattisphere.llm import bpe, chunkdedup, decontamination, language, neardup, quality, sharding, simhash, suffixdedup, tokenstore, topk, wordbpe
 from lattisphere.llm.components import components
 from lattisphere.llm.queries import vocabulary
 
@@ -77,6 +77,28 @@ def test_bpe(docs, empty, rows, tool):
     assert bpe.encode_decode(empty, path).count() == 0
 
 
+def test_pieces_by_the_pattern(tool):
+    rng = random.Random(7)
+    some = ["a", "b", *"stdmvrel", "'", '"', *"9²½ª \t\n.,!-é÷×ßÉÀ\x1c\x00", "'s", "'re", "'ll", "it's", " 'tis", "''s", "'d'll", "don't"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(40))) for _ in range(400)]
+    texts += ["", None, "'", "'r", "e's", "'", "s", "it'", "s", "'l", "l'", "v", "e", "'", "re", "2", "²"]
+    coder = wordbpe.WordCoder(vocabulary("word_bpe_49k.json"))
+    coded, counts = coder.split(pa.array(texts))
+    found, ends = coded.to_pylist(), np.cumsum(counts).tolist()
+    assert [found[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)] == [re.findall(wordbpe.PATTERN, (t or "").lower()) for t in texts]
+    asked = []
+    coder.encode = lambda piece, encode=coder.encode: asked.append(piece) or encode(piece)
+    for _ in range(3):
+        values = coder.coded(coded.dictionary, "H")
+    assert asked == coded.dictionary.to_pylist()  # a piece that is known is not encoded again
+    flat = values.take(coded.indices).to_pylist()
+    assert [b"".join(flat[e - n : e]) for e, n in zip(ends, counts.tolist(), strict=True)] == [np.array(tool.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    coder.held = 3  # then the last ones stay known
+    last = ["one", "two", asked[0]]
+    assert coder.coded(pa.array(last, pa.large_string()), "H").to_pylist()[2] == values[0].as_py()
+    assert coder.known["H"][0].to_pylist() == last and coder.coded(coded.dictionary, "H") == values
+
+
 def test_token_store(docs, empty, rows, tool, spark, tmp_path):
     path, out = vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/store"
     tokenstore.write_store(docs, path, out)
