@@ -32,10 +32,10 @@ BLOCK_TEXT, BUCKET_TEXT = 12 << 20, 32 << 20
 WORDS_AT_ONCE = 1 << 17
 
 
-def _planes(ranks: np.ndarray) -> bytes:
+def _planes(ranks: np.ndarray, level: int = 3) -> bytes:
     """Ranks as three planes of bytes, packed: common words have small ranks, so the upper planes are nearly all zero."""
     flat = np.ascontiguousarray(ranks.astype("<u4")).view(np.uint8).reshape(-1, 4)
-    return zstandard.compress(np.ascontiguousarray(flat.T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(flat.T).tobytes(), level)
 
 
 def _ranks(packed: bytes) -> np.ndarray:

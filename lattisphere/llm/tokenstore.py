@@ -1,8 +1,8 @@
 """A content-addressed store of token ids.
 
 Documents are encoded, one row each, and dealt to parts by (doc_id, CRC of the text, salt); the bounds come from a size-weighted
-sample, so parts hold about equal bytes of text and one doc_id may fill many. Each part cuts its id streams into chunks by a
-rolling hash of the ids. A chunk is known by its digest. A chunk of one part is stored there, once; a chunk that several
+sample, so parts hold about equal bytes of text and one doc_id may fill many. The ids of each document are cut into chunks by a
+rolling hash as they are encoded, once; the cuts and digests travel with the ids. A chunk is known by its digest. A chunk of one part is stored there, once; a chunk that several
 parts hold is stored once, as a row of its own under its digest; every occurrence is a digest in some document's recipe.
 Each part is one row of the store: recipes, own chunks, the digests of shared ones, and a Merkle root over its documents'
 leaves. The manifest holds the parts' roots, sizes and the ids before each part, and the corpus root stands over all of it.
@@ -25,23 +25,26 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _planes, _ranks
+from .bpe import _planes, _ranks, _runs
 from .shared import bytes_array, mix, new_path, slices, tidy, unpack_planes
 from .wordbpe import coder, joined
 
 #: Text of one part, and sampled rows for each; parts that are summed at once in the manifest; the end id; least, mean and most ids of a chunk.
 PART_TEXT, SAMPLE, GROUP, END = 8 << 20, 32, 1024, 2
-LEAST, MEAN, MOST = 16, 128, 1024
+LEAST, MEAN, MOST = 16, 128, 1024  # MEAN: a power of two
+#: Ids that are cut at once, whole documents at a time.
+IDS_AT_ONCE = 1 << 18
 NO_ID = -(1 << 63)
+_MIXED = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
 def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     """Ends of the chunks of concatenated documents: where the rolling hash of 8 ids says so, no sooner than LEAST and no later
     than MOST ids after the last, and at each document's end."""
-    h = mix(ids.astype(np.uint64) + np.uint64(1))
+    h = _MIXED[ids] if ids.max(initial=0) < len(_MIXED) else mix(ids.astype(np.uint64) + np.uint64(1))
     for step in (1, 2, 4):  # a gear hash over 8 ids: h[i] = g[i] + 2 g[i-1] + 4 g[i-2] ...
         h[step:] += h[:-step] << np.uint64(step)
-    cuts = np.flatnonzero((h >> np.uint64(16)) % np.uint64(MEAN) == 0) + 1
+    cuts = np.flatnonzero(h & np.uint64((MEAN - 1) << 16) == 0) + 1
     out, last, k = [], 0, 0
     cuts = cuts.tolist()
     for end in doc_ends.tolist():
@@ -113,24 +116,40 @@ def parts_of(cuts: list[tuple[int, int, int]], ids: np.ndarray, crcs: np.ndarray
 
 
 def _encoded(docs: DataFrame, path: str, cuts: list) -> DataFrame:
-    """A row for each document: its part, key and ids."""
+    """A row for each document: its part, key and ids, and the digests and sizes of its chunks."""
 
     def run(batches):
         tool, kind = coder(path), _kind(path)
-        end = np.array([END], kind).tobytes()
         for batch in batches:
             for piece in slices(batch):
                 texts = piece.column("text")
                 coded, counts = tool.split(texts)
                 data, at = joined(tool.coded(coded.dictionary, "H" if kind == "<u2" else "I"), coded.indices)
-                edges = at[np.concatenate([[0], np.cumsum(counts)])].tolist()
+                ends = at[np.cumsum(counts)] // np.dtype(kind).itemsize
+                flat = np.insert(data.view(kind), ends, END)
+                ends += np.arange(1, len(ends) + 1)
+                edges = np.concatenate([[0], ends])
                 ids, salts = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "salt"))
                 crcs = np.fromiter((zlib.crc32(x) for x in bytes_array(texts).to_pylist()), np.int64, len(ids))
-                whole = memoryview(data.tobytes())
-                packed = [_pack(np.frombuffer(b"".join((whole[a:b], end)), kind)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(parts_of(cuts, ids, crcs, salts)), pa.array(ids), pa.array(crcs), pa.array(packed, pa.binary())], ["part", "doc_id", "crc", "ids"])
+                packed = [_pack(flat[a:b]) for a, b in zip(edges[:-1].tolist(), ends.tolist(), strict=True)]
+                names, sizes = [], []
+                for first, last in _runs(edges, IDS_AT_ONCE):
+                    own = _chunks_of(flat[edges[first] : edges[last]].astype("<u4"), edges[first + 1 : last + 1] - edges[first])
+                    names += own[0]
+                    sizes += own[1]
+                yield pa.RecordBatch.from_arrays([pa.array(parts_of(cuts, ids, crcs, salts)), pa.array(ids), pa.array(crcs), pa.array(packed, pa.binary()), pa.array(names, pa.binary()), pa.array(sizes, pa.binary())], ["part", "doc_id", "crc", "ids", "names", "sizes"])
 
-    return _keyed(docs).mapInArrow(tidy(run), "part long, doc_id long, crc long, ids binary")
+    return _keyed(docs).mapInArrow(tidy(run), "part long, doc_id long, crc long, ids binary, names binary, sizes binary")
+
+
+def _chunks_of(flat: np.ndarray, doc_ends: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """The digests of each document's chunks, one after another, and their sizes."""
+    ends = chunk_ends(flat, doc_ends)
+    data = memoryview(flat.tobytes())
+    names = b"".join([digest(data[4 * a : 4 * b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+    sizes = np.diff(ends, prepend=0).astype("<u2").tobytes()
+    edges = [0, *np.searchsorted(ends, doc_ends, "right").tolist()]
+    return tuple([whole[width * a : width * b] for a, b in zip(edges[:-1], edges[1:], strict=True)] for whole, width in ((names, 16), (sizes, 2)))
 
 
 _PACKER = zstandard.ZstdCompressor(level=1)
@@ -151,18 +170,21 @@ class Part:
     """The documents of a part in order, with their chunks."""
 
     def __init__(self, rows: pa.Table, kind: str):
-        ids, crcs = rows.column("doc_id").to_numpy(), rows.column("crc").to_numpy()
-        each = [unpack_planes(x, kind) for x in rows.column("ids").to_pylist()]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        order = np.lexsort((sizes, crcs, ids))
-        self.ids, self.sizes = ids[order], sizes[order]
-        self.flat = np.concatenate([each[k] for k in order.tolist()]).astype("<u4")
-        self.ends = chunk_ends(self.flat, np.cumsum(self.sizes))
-        starts = np.concatenate([[0], self.ends[:-1]])
-        data = memoryview(self.flat.tobytes())
-        self.bodies = [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), self.ends.tolist(), strict=True)]
-        self.digests = [digest(b) for b in self.bodies]
-        self.per_doc = np.diff(np.searchsorted(self.ends, np.concatenate([[0], np.cumsum(self.sizes)]), "right"))
+        packed, names, sizes = (rows.column(c).to_pylist() for c in ("ids", "names", "sizes"))
+        each = [unpack_planes(x, kind) for x in packed]
+        order = np.lexsort((np.fromiter(map(len, each), np.int64, len(each)), rows.column("crc").to_numpy(), rows.column("doc_id").to_numpy()))
+        listed = order.tolist()
+        self.ids, self.recipes = rows.column("doc_id").to_numpy()[order], [names[k] for k in listed]
+        self.sizes = np.fromiter((len(each[k]) for k in listed), np.int64, len(listed))
+        self.per_doc = [len(x) // 16 for x in self.recipes]
+        data = memoryview(np.concatenate([each[k] for k in listed]).astype("<u4").tobytes())
+        edges = np.cumsum(np.frombuffer(b"".join([sizes[k] for k in listed]), "<u2"), dtype=np.int64).tolist()
+        self.bodies = [data[4 * a : 4 * b] for a, b in zip([0, *edges[:-1]], edges, strict=True)]
+        self.digests = _split_names(b"".join(self.recipes))
+
+
+def _split_names(whole: bytes) -> list[bytes]:
+    return [whole[k : k + 16] for k in range(0, len(whole), 16)]
 
 
 def _names(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +207,7 @@ def write_store(docs: DataFrame, path: str, out: str, part_text: int = PART_TEXT
     kind = _kind(path)
 
     def ask(part: pa.Table) -> pa.Table:
-        d1, d2 = _names(list(dict.fromkeys(Part(part, kind).digests)))
+        d1, d2 = _names(list(dict.fromkeys(_split_names(b"".join(part.column("names").to_pylist())))))
         return pa.table({"part": pa.repeat(part.column("part")[0], len(d1)), "d1": d1, "d2": d2})
 
     def store(part: pa.Table, told: pa.Table) -> pa.Table:
@@ -200,9 +222,8 @@ def write_store(docs: DataFrame, path: str, out: str, part_text: int = PART_TEXT
                 own.setdefault(d, body)
             elif owner[d] == number:
                 given.setdefault(d, body)
-        edges = np.cumsum([0, *held.per_doc.tolist()])
-        leaves = [digest(b"".join(held.digests[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        row = [0, number, int(held.sizes.sum()), held.ids.tolist(), held.sizes.tolist(), held.per_doc.tolist(), b"".join(held.digests), b"".join(own), [len(b) // 4 for b in own.values()], _planes(np.frombuffer(b"".join(own.values()), "<u4")), names, merkle_root(leaves), None, None, None]
+        leaves = [digest(own) for own in held.recipes]
+        row = [0, number, int(held.sizes.sum()), held.ids.tolist(), held.sizes.tolist(), held.per_doc, b"".join(held.recipes), b"".join(own), [len(b) // 4 for b in own.values()], _planes(np.frombuffer(b"".join(own.values()), "<u4"), 1), names, merkle_root(leaves), None, None, None]
         tables = [pa.table([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)]
         if given:
             d1, d2 = _names(list(given))

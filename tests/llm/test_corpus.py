@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lattisphere.llm import bpe, chunkdedup, decontamination, language, neardup, quality, sharding, simhash, suffixdedup, tokenstore, topk, wordbpe
 from lattisphere.llm.components import components
 from lattisphere.llm.queries import vocabulary
+from lattisphere.llm.shared import mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and river stone light walking quickly señor élan über straße don't we're 42 1,000 😀 x́ naïve".split()
@@ -180,6 +181,31 @@ def test_chunks_of_ids():
     assert len({e - 1 for e in later.tolist()} & {e - 10 for e in ends.tolist() if 10 < e <= 3000}) > 0.7 * len(later)
 
 
+def test_chunks_are_cut_and_named_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 700, 1, 20, 3000, 1, 90, 2500, 16, 17])
+    each = [np.append(rng.integers(3, 300, n - 1), tokenstore.END).astype("<u2") for n in sizes.tolist()]
+    names, lengths = tokenstore._chunks_of(np.concatenate(each).astype("<u4"), np.cumsum(sizes))
+    for ids, own, told in zip(each, names, lengths, strict=True):  # as if each document were alone
+        ends = tokenstore.chunk_ends(ids.astype("<u4"), np.array([len(ids)])).tolist()
+        assert np.cumsum(np.frombuffer(told, "<u2")).tolist() == ends
+        assert own == b"".join(hashlib.blake2b(ids[a:b].astype("<u4").tobytes(), digest_size=16).digest() for a, b in zip([0, *ends], ends, strict=False))
+    wide = np.array([1 << 16, 5, 1 << 20, *range(100)])
+    assert tokenstore.chunk_ends(wide, np.array([103])).tolist() == tokenstore.chunk_ends(wide.astype("<u4"), np.array([103])).tolist()
+    assert (tokenstore._MIXED[wide[3:]] == mix(wide[3:].astype(np.uint64) + np.uint64(1))).all()
+
+    def again(*_):
+        raise AssertionError("a part cuts or digests anew")
+
+    monkeypatch.setattr(tokenstore, "chunk_ends", again)
+    monkeypatch.setattr(tokenstore, "digest", again)
+    rows = pa.table({"doc_id": pa.array([9 - k for k in range(10)]), "crc": pa.array([0] * 10), "ids": pa.array([tokenstore._pack(x) for x in each], pa.binary()), "names": pa.array(names, pa.binary()), "sizes": pa.array(lengths, pa.binary())})
+    part = tokenstore.Part(rows, "<u2")
+    assert part.ids.tolist() == list(range(10)) and part.sizes.tolist() == sizes[::-1].tolist() and part.recipes == names[::-1]
+    assert b"".join(part.bodies) == np.concatenate(each[::-1]).astype("<u4").tobytes() and [len(x) // 16 for x in part.recipes] == part.per_doc
+    assert [hashlib.blake2b(x, digest_size=16).digest() for x in part.bodies] == part.digests
+
+
 def test_sharding(docs, empty, rows):
     got = sharding.assign_shards(docs, 8).collect()
     assert sorted((key((r.doc_id,)), r["size"], r.text_crc32) for r in got) == sorted((key((i,)), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
