@@ -31,38 +31,59 @@ from .shared import buffer_of, doc_ids, from_ipc, gathered, mix, packed, places_
 
 WINDOW, LEAST_RUN = 64, 100  # WINDOW: a power of two
 CONTEXT, MOST_PLACES = 256, 4
+#: Windows that are searched at once.
+AT_ONCE = 1 << 16
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of each value."""
-    h = _GEAR[data]
-    for step in (1, 2, 4, 8):
-        h[step:] += h[:-step] << np.uint32(step)
-    bad = np.zeros(len(data), bool)
-    bad[:-1] = (data[1:] & 0xC0) == 0x80
-    for period in range(1, 9):  # equal hashes side by side would cut at each of them
-        bad[period:] |= h[period:] == h[:-period]
+    """Ends of the chunks of each value: after the least hash of each window, of equal ones the last. Windows are taken AT_ONCE at a time, which fit the cache."""
     n, sizes = len(data), np.diff(offsets)
-    bad[ragged(offsets[:-1], np.minimum(sizes, 15))] = True  # these hashes reach into the text before
-    h[bad] = np.uint32(0xFFFFFFFF)
-    best = (h.astype(np.uint64) << np.uint64(32)) | (np.uint64(n) - np.arange(n, dtype=np.uint64))  # of equal ones the last
-    step = 1
-    while step < WINDOW:
-        best[:-step] = np.minimum(best[:-step], best[step:])
-        step *= 2
-    apart = np.zeros(n, bool)  # starts of windows that are not inside one text
-    apart[ragged(np.maximum(offsets[:-1], offsets[1:] - WINDOW + 1), np.minimum(sizes, WINDOW - 1))] = True
-    other = ~apart
-    other[1:] &= (best[1:] != best[:-1]) | apart[:-1]
+    head = np.zeros(n, bool)
+    head[ragged(offsets[:-1], np.minimum(sizes, 15))] = True  # these hashes reach into the text before
+    inside = np.ones(n, bool)  # starts of windows that are inside one text
+    inside[ragged(np.maximum(offsets[:-1], offsets[1:] - WINDOW + 1), np.minimum(sizes, WINDOW - 1))] = False
+    begin = np.zeros(n, bool)
+    begin[offsets[:-1][sizes >= WINDOW]] = True
     cut = np.zeros(n + 1, bool)
-    cut[n - (best[other] & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1] = True
-    cut[1:] &= ~bad
+    for at in range(0, n - WINDOW + 1, AT_ONCE):
+        low = max(0, at - 24)  # one window before, 8 hashes before that, and 15 bytes that reach into the first of them
+        high = min(n, at + AT_ONCE + WINDOW - 1)
+        h, bad = _hashes(data[low : high + 1], high - low)
+        bad |= head[low:high]
+        h[bad] = 0xFFFFFFFF
+        least, step = h, 1
+        while step < WINDOW:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        skip = at - low
+        rises = np.ones(len(least) - skip, bool)  # the least hash has left the window, or the window is the first
+        np.greater(least[max(1, skip) :], least[max(1, skip) - 1 : -1], out=rises[skip == 0 :])
+        own = slice(at, at + len(rises))
+        rises |= begin[own]
+        rises &= inside[own]
+        cut[at + WINDOW : at + WINDOW + len(rises)] |= (h[skip + WINDOW - 1 :] == least[skip:]) & inside[own] & ~bad[skip + WINDOW - 1 :]  # it has just come in
+        places = np.flatnonzero(rises) + (skip + WINDOW - 1)
+        back = np.ascontiguousarray(h[::-1])
+        places -= np.lib.stride_tricks.sliding_window_view(back, WINDOW)[len(h) - 1 - places].argmin(axis=1)
+        cut[low + 1 + places[~bad[places]]] = True
     cut[offsets[1:][sizes > 0]] = True
     cut[0] = False
     return np.flatnonzero(cut)
 
 
+def _hashes(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rolling hash at each of the first n places, and where none may cut."""
+    h = _GEAR[data[:n]]
+    for step in (1, 2, 4, 8):
+        h[step:] += h[:-step] << np.uint32(step)
+    bad = np.zeros(n, bool)
+    bad[: len(data) - 1] = (data[1:] & 0xC0) == 0x80
+    for period in range(1, 9):  # equal hashes side by side would cut at each of them
+        bad[period:] |= h[period:] == h[:-period]
+    return h, bad
+
+
 class Chunks:
     """The chunks of a block: ends, digests (two numbers each), and the row of each."""
 
@@ -78,13 +99,20 @@ class Chunks:
     def distinct(self, ids: np.ndarray):
         """Distinct digests in order, the least id of each, and the place of each chunk's digest."""
         d, own = self.digests, ids[self.rows]
-        order = np.lexsort((own, d[:, 1], d[:, 0]))
+        order = np.argsort(d[:, 0])
+        if _mixed(d[order]):  # of two digests with one first number the second must tell
+            order = np.lexsort((d[:, 1], d[:, 0]))
         d = d[order]
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]).any(axis=1)
         place = np.empty(len(d), np.int64)
         place[order] = np.cumsum(new) - 1
-        return d[new], own[order][new], place
+        return d[new], np.minimum.reduceat(own[order], np.flatnonzero(new)) if len(d) else own, place
+
+
+def _mixed(d: np.ndarray) -> bool:
+    """Whether two rows side by side have the first number in common, but not the second."""
+    return bool(((d[1:, 0] == d[:-1, 0]) & (d[1:, 1] != d[:-1, 1])).any())
 
 
 def _told(blocks: DataFrame) -> DataFrame:

@@ -77,6 +77,31 @@ def test_cuts_of_plain_rule():
     assert [(e - o).tolist() for e, o in zip(ends, found.offsets[:-1], strict=True)] == [plain_cuts(t.encode()) for t in texts]
 
 
+def test_cuts_do_not_depend_on_what_is_searched_at_once(monkeypatch):
+    rng = random.Random(4)
+    sizes = [0, 1, 15, 16, 63, 64, 65, 127, 300, 700]
+    texts = ["".join(rng.choice(some) for _ in range(n)) for n in sizes for some in ("ab", "abé ü\n😀")] + ["ab" * 90, "x" * 200, "abcdefghi" * 40, "", "éü" * 90]
+    rng.shuffle(texts)
+    for at_once in (1, 23, 64, 100, 1 << 16):
+        monkeypatch.setattr(chunkdedup, "AT_ONCE", at_once)
+        found = chunkdedup.Chunks(pa.array(texts))
+        ends = np.split(found.ends, np.searchsorted(found.ends, found.offsets[1:-1], "right"))
+        assert [(e - o).tolist() for e, o in zip(ends, found.offsets[:-1], strict=True)] == [plain_cuts(t.encode()) for t in texts], at_once
+
+
+def test_digests_with_one_half_in_common_stay_apart():
+    rng = np.random.default_rng(6)
+    for halves in (3, 1 << 62):  # few values: first numbers coincide; many: none does
+        found = chunkdedup.Chunks(pa.array(["a"]))
+        found.digests, found.rows = rng.integers(0, halves, (500, 2)).astype(np.uint64), np.arange(500)
+        found.digests[250:] = found.digests[:250]
+        ids = rng.integers(0, 90, 500)
+        d, least, place = found.distinct(ids)
+        pairs = list(map(tuple, found.digests.tolist()))
+        assert list(map(tuple, d.tolist())) == sorted(set(pairs)) and [tuple(x) for x in d[place].tolist()] == pairs
+        assert least.tolist() == [min(i for p, i in zip(pairs, ids.tolist(), strict=True) if p == q) for q in sorted(set(pairs))]
+
+
 def test_chunk_dedup_by_plain_rule(spark):
     rng = random.Random(8)
     passages, _ = planted_passages(12)
